@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyline.operators import timestamps
+from tallyline.functions import canon
+from tallyline.operators import difference, records, timestamps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +24,41 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(spark, sf_dir).select("tx_id", "field_name", "norm").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found}
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.parse_records(table(spark, sf_dir, "statement_lines"), "line_id", "record_no", "record_text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.rejected_rows(_records(spark, sf_dir), "line_id").select("line_id", "reason")
+
+
+def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.valid_rows(_records(spark, sf_dir), "line_id")
+
+
+CELLS = ("account_number", "transaction_date", "transaction_time", "direction", "amount", "balance", "counterparty_name", "counterparty_account")
+ROW_KEY = ["source_document_id", "page_no", "row_no"]
+
+
+def _reading(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    cells = {n: canon.field(n, F.get("cell_values", F.lit(k)), text=canon.trimmed) for k, n in enumerate(CELLS)}
+    return table(spark, sf_dir, name).select(
+        *ROW_KEY,
+        *(c.alias(n) for n, c in cells.items()),
+        canon.trimmed(F.col("raw_direction")).alias("raw_direction"),
+        difference.pair_set(F.col("issues"), "field_name", "kind").alias("issues"),
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _reading(spark, sf_dir, "assembled_rows"), _reading(spark, sf_dir, "independent_rows")
+    return difference.differences(left, right, ROW_KEY, [*CELLS, "raw_direction", "issues"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_rows": p6_rows,
+    "p7_found": p7_found,
+}
 ORACLE_SQL: dict[str, str] = {}
