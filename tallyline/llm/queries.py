@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import confusables, mapping
+from tallyline.llm import confusables, mapping, representative
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,25 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.normalise_lookalikes(_table(spark, sf_dir, "bank_transactions"), "tx_id")
 
 
+def _survived(spark: SparkSession, sf_dir: str, dominant: bool = True) -> DataFrame:
+    order = representative.trust_order("review_status", "extraction_confidence", "extracted_at")
+    return representative.surviving_values(_table(spark, sf_dir, "observations"), "event_id", "obs_id", order, dominant=dominant)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    torn = _survived(spark, sf_dir).where(F.col("n_values") > 1)
+    return torn.select(F.col("grp").alias("event_id"), "field_name", F.col("record").alias("obs_id"))
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative.surviving_records(_survived(spark, sf_dir)).withColumnRenamed("grp", "event_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
 }
