@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import confusables, mapping, representative
+from tallyline.llm import confusables, leakage, mapping, representative
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representative.surviving_records(_survived(spark, sf_dir)).withColumnRenamed("grp", "event_id")
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p8_found": p8_found,
 }
 
 ORACLE_SQL: dict[str, str] = {}
