@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import confusables, leakage, mapping, quality, representative
+from tallyline.llm import confusables, leakage, mapping, mixing, names, quality, representative
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representative.surviving_records(_survived(spark, sf_dir)).withColumnRenamed("grp", "event_id")
 
 
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_rows(_table(spark, sf_dir, "counterparties"), "counterparty_id", "cp_name", "aliases", "account", "city")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(p5_entities(spark, sf_dir), "counterparty_id")
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -60,6 +68,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "common_words")).drop("text")
 
@@ -75,7 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p5_found": p5_found,
     "p8_found": p8_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
