@@ -173,6 +173,8 @@ def held_items(texts: list[str | None], indexes: list[SeedIndex], threshold: flo
         if not index.items:
             continue
         at, item, place = index.hits(codes)
+        if not len(at):
+            continue
         doc = np.searchsorted(starts, at, "right") - 1
         pair = doc * len(index.items) + item
         order = np.argsort(pair, kind="stable")

@@ -100,7 +100,7 @@ def with_statistics(docs: DataFrame, text: str, common_words: list[str]) -> Data
     df = (
         df.withColumn("_letters", F.length(F.regexp_replace("_t", rf"[^A-Za-zÀ-ɏЀ-ӿ]", "")))
         .withColumn("mean_word_length", _share(F.col("_letters") + F.col("n_han"), F.col("n_words")))
-        .withColumn("alnum_share", _share(_count(F.col("_t"), r"[\p{L}\p{N}]"), F.col("n_visible")))
+        .withColumn("alnum_share", _share(_count(F.col("_t"), r"[\p{L}\p{N}]"), F.col("n_visible") - _count(F.col("_t"), r"\|")))
         .withColumn("broken_share", _share(_count(F.col("_t"), r"[�□■\x7f-\x9f]"), F.col("n_visible")))
         .withColumn("symbol_share", F.when(F.col("n_visible") > 0, 1 - F.col("alnum_share")).otherwise(0.0))
         .withColumn("_common_han", _count(F.col("_t"), "[" + "".join(w for w in ideographic if len(w) == 1) + "]" if any(len(w) == 1 for w in ideographic) else never))
