@@ -277,9 +277,10 @@ _add(
     """SELECT mark, CASE WHEN i > o THEN 'IN' ELSE 'OUT' END AS dir FROM (SELECT trim(raw_direction, ' ') AS mark, count(*) FILTER (cell_values[4] IN ('IN','贷','贷方','收','收入','转入','+','CR')) AS i, count(*) FILTER (cell_values[4] IN ('OUT','借','借方','支','支出','转出','-','DR')) AS o
       FROM assembled_rows WHERE trim(raw_direction, ' ') <> '' GROUP BY 1) WHERE i <> o""",
 )
-_add("AGG14_review_groups", lambda s, d: graph.page_issues(_led(s, d)), _sql("""SELECT doc, page, reason, count(*) AS n_rows, min(tx_id) AS first_row FROM (
+_ISSUES = """SELECT doc, page, reason, count(*) AS n_rows, min(tx_id) AS first_row FROM (
   SELECT doc, page, tx_id, 'LOW_CONFIDENCE' AS reason FROM led WHERE conf < 0.8 UNION ALL SELECT doc, page, tx_id, 'INVALID_AMOUNT' FROM led WHERE amt IS NULL OR amt < 0
-  UNION ALL SELECT doc, page, tx_id, 'INVALID_DATE' FROM led WHERE d IS NULL UNION ALL SELECT doc, page, tx_id, 'INVALID_DIRECTION' FROM led WHERE dir NOT IN ('IN','OUT')) GROUP BY 1, 2, 3"""))
+  UNION ALL SELECT doc, page, tx_id, 'INVALID_DATE' FROM led WHERE d IS NULL UNION ALL SELECT doc, page, tx_id, 'INVALID_DIRECTION' FROM led WHERE dir NOT IN ('IN','OUT')) GROUP BY 1, 2, 3"""
+_add("AGG14_review_groups", lambda s, d: graph.page_issues(_led(s, d)), _sql(_ISSUES))
 _add("AGG15_missing_pages", lambda s, d: sequence.missing_pages(_led(s, d)), _sql("SELECT doc, page::INT AS page FROM (SELECT doc, unnest(generate_series(min(page), max(page))) AS page FROM led WHERE page > 0 GROUP BY doc) EXCEPT SELECT doc, page FROM led"))
 _add(
     "AGG16_duplicate_groups",
