@@ -21,6 +21,10 @@ very long texts match no pattern and are ``INVALID``; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,9 +148,16 @@ def month_first_posterior(day_only: Column, month_only: Column, either: Column,
     return F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), prior, lambda share, _: (settled + either * share) / total)
 
 
+@cache
+def known_zones() -> list[str]:
+    """The regions of the zone database that both this process and the executors' runtime have."""
+    regions = r"(Africa|America|Antarctica|Arctic|Asia|Atlantic|Australia|Europe|Indian|Pacific|Etc)/[A-Za-z0-9_/+-]+"
+    return ["UTC", "GMT", DEFAULT_ZONE, *sorted(z for z in available_timezones() if re.fullmatch(regions, z))]
+
+
 def source_profiles(rows: DataFrame, accounts: DataFrame, source: str, zone: str, columns: tuple[str, ...]) -> DataFrame:
     """``(source, zone, month_first)`` of every account source, ``month_first`` being the posterior of its mixture."""
-    known = F.coalesce(F.col(zone), F.lit("")).rlike(r"^(UTC|GMT|[A-Z][A-Za-z_]+/[A-Za-z_/+-]+[0-9]*)$")
+    known = F.col(zone).isin(known_zones())
     dims = accounts.groupBy(source).agg(F.min(F.when(known, F.col(zone))).alias("zone"))
     written = rows.select(source, F.explode(F.array(*columns)).alias("t")).where(F.col("t").rlike(rf"^\s*{_YEAR_LAST}"))
     split = written.select(source, F.split(F.regexp_extract(F.trim("t"), r"^([\d/.-]+)", 1), "[-/.]").alias("n"))
