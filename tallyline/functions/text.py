@@ -125,3 +125,44 @@ def row_fingerprint(*columns: str) -> Column:
 def days_between(a: Column, b: Column) -> Column:
     """DAT05: whole days, 0 if either is missing."""
     return F.coalesce(F.abs(F.datediff(a, b)), F.lit(0))
+
+
+def source_line(c: Column | str, line: int) -> Column:
+    """STR08: the n-th printed line of a cell, from 1; NULL if there is none."""
+    return F.get(F.split(text(c), r"\r?\n"), F.lit(line - 1))
+
+
+def source_party(c: Column | str, part: str) -> Column:
+    """STR08: the account or the name of a cell that holds both, split by a slash, bar or line feed; NULL unless exactly one side is a number."""
+    sides = F.transform(F.split(text(c), r"[/|\n]"), lambda x: F.trim(x))
+    number = F.filter(sides, lambda x: F.regexp_replace(x, rf"[{SPACES}\-*]", "").rlike(r"^\d{4,32}$"))
+    name = F.filter(sides, lambda x: ~F.regexp_replace(x, rf"[{SPACES}\-*]", "").rlike(r"^\d{4,32}$") & (x != ""))
+    clear = (F.size(sides) == 2) & (F.size(number) == 1) & (F.size(name) == 1)
+    return F.when(clear, F.get(number if part == "account" else name, F.lit(0)))
+
+
+def number_spacing(c: Column | str) -> Column:
+    """STR09: spaces that recognition put around a sign, comma or point, or after a currency sign, taken out again."""
+    closed = F.regexp_replace(text(c), r"(?<=\d)\s*([,.])\s*(?=\d)", "$1")
+    return F.regexp_replace(closed, r"(?<=[-+¥￥])\s+(?=\d)", "")
+
+
+def account_from_text(c: Column | str) -> Column:
+    """STR10: the only run of 8 to 32 digits of a text; NULL if there is none or several."""
+    runs = F.filter(F.regexp_extract_all(text(c), F.lit(r"\d+"), F.lit(0)), lambda x: F.length(x).between(8, 32))
+    return F.when(F.size(runs) == 1, F.get(runs, F.lit(0)))
+
+
+def page_region(x: Column, y: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    """GEO01: a box in page units as shares of the page, cut to the page; NULL for boxes without extent or page."""
+    share = lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a / b))
+    left, top = share(x, page_width), share(y, page_height)
+    box = F.struct(left.alias("x"), top.alias("y"), (share(x + width, page_width) - left).alias("width"), (share(y + height, page_height) - top).alias("height"))
+    return F.when((width > 0) & (height > 0) & (page_width > 0) & (page_height > 0), box)
+
+
+def turned_region(box: Column, degrees: int) -> Column:
+    """GEO01: a region of shares on a page turned clockwise by a multiple of 90 degrees."""
+    x, y, w, h = (box[k] for k in ("x", "y", "width", "height"))
+    turned = {0: (x, y, w, h), 90: (1 - y - h, x, h, w), 180: (1 - x - w, 1 - y - h, w, h), 270: (y, 1 - x - w, h, w)}[degrees % 360]
+    return F.struct(*(c.alias(n) for c, n in zip(turned, ("x", "y", "width", "height"), strict=True)))

@@ -93,3 +93,40 @@ def fingerprints(ledger: DataFrame) -> DataFrame:
     row = T.row_fingerprint("tx_id", "d", "dir", "amt", "bal", "cp_name", "cp_acct", "type", "summary")
     part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")
     return ledger.groupBy("doc", "acct").agg(F.count("*").alias("n_rows"), F.sum(part).cast("decimal(38,0)").alias("mark"))
+
+
+def counterparty_nodes(ledger: DataFrame) -> DataFrame:
+    """GRA03: one node a counterparty, with how many rows go either way. Ids stay in the edges, where they are rows."""
+    party = T.counterparty_key("cp_acct", "cp_name", "cp_bank", "doc", "tx_id")
+    count = lambda side: F.sum((F.col("dir") == side).cast("int")).alias(f"n_{side.lower()}")
+    return ledger.groupBy(party.alias("node")).agg(count("IN"), count("OUT"), F.min(F.when(F.trim("cp_name") != "", F.trim("cp_name"))).alias("name"))
+
+
+def judicial_nodes(ledger: DataFrame) -> DataFrame:
+    """GRA05."""
+    return ledger.where(flows.is_judicial()).select(F.concat(F.lit("judicial:"), "tx_id").alias("node"), "d", "amt")
+
+
+def written_back(ledger: DataFrame, representatives: DataFrame) -> DataFrame:
+    """GRA07, JON07: every observation with its event's representative and whether it is left out of sums."""
+    return ledger.join(representatives, "tx_id", "left").select("tx_id", F.coalesce("representative", "tx_id").alias("representative"), (F.coalesce("representative", "tx_id") != F.col("tx_id")).alias("is_duplicate"))
+
+
+def issuers(accounts: DataFrame) -> DataFrame:
+    """JON19: the bank that issues an account, where all documents that print the account agree; conflicts are kept as such."""
+    named = accounts.where((T.text("bank_name") != "") & T.is_reliable("account_number"))
+    ends = named.groupBy(T.identity_part("account_number").alias("account")).agg(F.min("bank_name").alias("bank"), F.max("bank_name").alias("other"), F.count("*").alias("n_documents"))
+    return ends.select("account", "n_documents", F.when(F.col("bank") == F.col("other"), F.col("bank")).alias("bank"), (F.col("bank") != F.col("other")).alias("conflict"))
+
+
+def ownership_groups(accounts: DataFrame) -> DataFrame:
+    """AGG17: accounts by their holder's name, however spaced."""
+    return accounts.groupBy(T.person_name("account_name").alias("holder")).agg(F.count("*").alias("n_accounts"), F.count_distinct(T.identity_part("account_number")).alias("n_numbers"), F.min("account_name").alias("printed"))
+
+
+def overlaid(drafts: DataFrame, model: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """JON21, ER18: model values over drafts by key; a key the model has twice isn't used, and drafts it omits are kept."""
+    once = model.groupBy(*keys).agg(F.count("*").alias("n"), *(F.min(f).alias(f"m_{f}") for f in fields))
+    laid = drafts.join(once, keys, "left")
+    use = lambda f: F.when((F.col("n") == 1) & (F.coalesce(F.col(f"m_{f}"), F.lit("")) != ""), F.col(f"m_{f}")).otherwise(F.col(f)).alias(f)
+    return laid.select(*keys, *(use(f) for f in fields), F.when(F.col("n").isNull(), "OMITTED").when(F.col("n") > 1, "REPEATED").otherwise("USED").alias("overlay"))

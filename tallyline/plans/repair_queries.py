@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyline.operators import graph, repair
-from tallyline.operators.ledger import read_accounts, read_ledger
+from tallyline.functions import text as T
+from tallyline.operators import events, graph, repair
+from tallyline.operators.ledger import orders_ledger, read_accounts, read_ledger
 from tallyline.plans import ledger_queries as P
 from tallyline.plans.core import CELLS, ROW_KEY
 
@@ -117,3 +119,39 @@ _add(
     lambda s, d: repair.confusions(P._cells(s, d, "assembled_rows"), P._cells(s, d, "independent_rows"), ROW_KEY, "direction"),
     "WITH " + ", ".join(P._AB) + f" SELECT expected, actual, count(*) AS n FROM (SELECT {_ROW}, min(coalesce(direction,'')) AS expected FROM a GROUP BY {_ROW}) JOIN (SELECT {_ROW}, min(coalesce(direction,'')) AS actual FROM b GROUP BY {_ROW}) USING ({_ROW}) WHERE expected <> actual GROUP BY 1, 2 ORDER BY n DESC, expected, actual LIMIT 20",
 )
+
+_add(
+    "GRA03_counterparty_nodes",
+    lambda s, d: graph.counterparty_nodes(_led(s, d)),
+    _sql(f"SELECT {P._PARTY_KEY} AS node, sum((dir = 'IN')::INT)::BIGINT AS n_in, sum((dir = 'OUT')::INT)::BIGINT AS n_out, min(nullif(trim(cp_name, ' '), '')) AS name FROM led GROUP BY 1"),
+)
+_add("GRA05_judicial_nodes", lambda s, d: graph.judicial_nodes(_led(s, d)), _sql(f"SELECT 'judicial:' || tx_id AS node, d, amt FROM led WHERE {P._JUD}"))
+_add(
+    "JON19_issuers",
+    lambda s, d: graph.issuers(read_accounts(s, d)),
+    f"SELECT {P._ident('account_number')} AS account, count(*) AS n_documents, CASE WHEN min(bank_name) = max(bank_name) THEN min(bank_name) END AS bank, min(bank_name) <> max(bank_name) AS conflict FROM accounts WHERE coalesce(bank_name,'') <> '' AND {P._reliable('account_number')} GROUP BY 1",
+)
+_add(
+    "AGG17_ownership_groups",
+    lambda s, d: graph.ownership_groups(read_accounts(s, d)),
+    f"""SELECT {P._PERSON.replace('{c}', "coalesce(account_name,'')")} AS holder, count(*) AS n_accounts, count(DISTINCT {P._ident("coalesce(account_number,'')")}) AS n_numbers, min(account_name) AS printed FROM accounts GROUP BY 1""",
+)
+_OVERLAY = ["amount", "balance", "counterparty_name"]
+_add(
+    "JON21_overlay",
+    lambda s, d: graph.overlaid(P._cells(s, d, "assembled_rows"), P._cells(s, d, "independent_rows"), ROW_KEY, _OVERLAY),
+    "WITH " + ", ".join(P._AB) + f", o AS (SELECT {_ROW}, count(*) AS n, {', '.join(f'min({f}) AS m_{f}' for f in _OVERLAY)} FROM b GROUP BY {_ROW}) SELECT {_ROW}, "
+    + ", ".join(f"CASE WHEN n = 1 AND coalesce(m_{f}, '') <> '' THEN m_{f} ELSE {f} END AS {f}" for f in _OVERLAY)
+    + f", CASE WHEN n IS NULL THEN 'OMITTED' WHEN n > 1 THEN 'REPEATED' ELSE 'USED' END AS overlay FROM a LEFT JOIN o USING ({_ROW})",
+)
+_add(
+    "STR10_account_runs",
+    lambda s, d: _led(s, d).select("tx_id", T.account_from_text(F.concat_ws(" ", "acct", "cp_acct")).alias("account")),
+    _sql(r"SELECT tx_id, CASE WHEN len(r) = 1 THEN r[1] END AS account FROM (SELECT tx_id, list_filter(regexp_extract_all(acct || ' ' || cp_acct, '\d+'), lambda x: length(x) BETWEEN 8 AND 32) AS r FROM led)"),
+)
+_add(
+    "AGG19_page_rows",
+    lambda s, d: _led(s, d).groupBy("doc", "page").agg(F.count("*").alias("n_rows"), F.max("rowno").alias("last_row"), (F.max("rowno") - F.min("rowno") + 1 == F.count("*")).alias("gapless")),
+    _sql("SELECT doc, page, count(*) AS n_rows, max(rowno) AS last_row, max(rowno) - min(rowno) + 1 = count(*) AS gapless FROM led GROUP BY 1, 2"),
+)
+QUERIES["GRA07_written_back"] = lambda s, d: graph.written_back(orders_ledger(s, d), events.canonical_events(orders_ledger(s, d)))

@@ -162,3 +162,21 @@ def test_stream_drops_repeats_and_equals_the_batch(spark, tmp_path):
     query = ingest.run_available(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(source).select("tx_id").distinct().count()
+
+
+def test_cell_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tallyline.functions import text as T
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first().c
+    lit = F.lit
+    assert one(T.source_line(lit("a\nb"), 2)) == "b" and one(T.source_line(lit("a"), 2)) is None
+    assert one(T.source_party(lit("6222 0000 1111 / 甲乙"), "account")) == "6222 0000 1111" and one(T.source_party(lit("6222 0000 1111 / 甲乙"), "name")) == "甲乙" and one(T.source_party(lit("甲 / 乙"), "name")) is None
+    assert one(T.number_spacing(lit("- 1 , 234 . 50"))) == "-1,234.50"
+    assert one(T.account_from_text(lit("卡号 62220000 金额 5"))) == "62220000" and one(T.account_from_text(lit("62220000 62221111"))) is None
+    assert one(T.holder_name(lit("甲乙_银行流水.pdf"))) == "甲乙_" and one(T.semantic_text(lit("a　b\\n c"))) == "abc"
+    box = T.page_region(lit(10.0), lit(20.0), lit(30.0), lit(40.0), lit(100.0), lit(200.0))
+    back = one(T.turned_region(T.turned_region(box, 90), 270))
+    assert [round(back[k], 9) for k in ("x", "y", "width", "height")] == [0.1, 0.1, 0.3, 0.2]
+    assert one(T.page_region(lit(1.0), lit(1.0), lit(0.0), lit(1.0), lit(9.0), lit(9.0))) is None
