@@ -61,22 +61,30 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _held(text: Column, characters: str) -> Column:
+    """How many characters of a class a text holds; the others go in runs, so that nothing is built per character."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
+
+
+def _sign(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, sign, ""))
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _separator(line: Column) -> Column:
-    """The separator of a line and how often it has it, or NULL for a line that is no row of columns."""
-    bare = F.regexp_replace(F.trim(line), '"[^"]*"', "q")
-    fixed = _count(bare, r"\S(?: {2,}|　+)(?=\S)")
-    n = lambda p: _count(bare, p)
+def _separator(bare: Column) -> Column:
+    """The separator of a line (trimmed, quoted cells shortened) and how often it has it, or NULL for a line that is no row
+    of columns."""
     row = lambda sign, k: F.concat(F.lit(sign), k.cast("string"))
+    edges = bare.startswith("|").cast("int") + bare.endswith("|").cast("int")
     return (
-        F.when(n("\t") >= 1, row("t", n("\t")))
-        .when(n(r"\|") >= 2, row("|", _count(F.regexp_replace(bare, r"^\||\|$", ""), r"\|")))
-        .when(n(";") >= 2, row(";", n(";")))
-        .when((n(",") >= 3) & ~bare.rlike(r", [A-Za-z]"), row(",", n(",")))
-        .when(fixed >= 2, row(" ", fixed))
+        F.when(bare.contains("\t"), row("t", _sign(bare, "\t")))
+        .when(bare.contains("|") & (_sign(bare, "|") >= 2), row("|", _sign(bare, "|") - edges))
+        .when(bare.contains(";") & (_sign(bare, ";") >= 2), row(";", _sign(bare, ";")))
+        .when(bare.contains(",") & (_sign(bare, ",") >= 3) & ~bare.rlike(r", [A-Za-z]"), row(",", _sign(bare, ",")))
+        .when(bare.rlike(r"(?:\S(?: {2,}|　+)(?=\S).*){2}"), row(" ", _count(bare, r"\S(?: {2,}|　+)(?=\S)")))
     )
 
 
@@ -91,23 +99,23 @@ def with_statistics(docs: DataFrame, text: str, common_words: list[str]) -> Data
     df = (
         docs.withColumn("_t", t)
         .withColumn("_lines", F.filter(F.split("_t", r"[\r\n]+"), lambda x: F.trim(x) != ""))
-        .withColumn("n_visible", _count(F.col("_t"), r"\S"))
+        .withColumn("n_visible", _held(F.col("_t"), r"\S"))
         .withColumn("n_lines", F.size("_lines"))
-        .withColumn("n_han", _count(F.col("_t"), _HAN))
+        .withColumn("n_han", _held(F.col("_t"), _HAN[1:-1]))
         .withColumn("n_latin", _count(F.col("_t"), _WORD))
         .withColumn("n_words", F.col("n_han") + F.col("n_latin"))
     )
     df = (
-        df.withColumn("_letters", F.length(F.regexp_replace("_t", rf"[^A-Za-zÀ-ɏЀ-ӿ]", "")))
+        df.withColumn("_letters", _held(F.col("_t"), "A-Za-zÀ-ɏЀ-ӿ"))
         .withColumn("mean_word_length", _share(F.col("_letters") + F.col("n_han"), F.col("n_words")))
-        .withColumn("alnum_share", _share(_count(F.col("_t"), r"[\p{L}\p{N}]"), F.col("n_visible") - _count(F.col("_t"), r"\|")))
-        .withColumn("broken_share", _share(_count(F.col("_t"), r"[�□■\x7f-\x9f]"), F.col("n_visible")))
+        .withColumn("alnum_share", _share(_held(F.col("_t"), r"\p{L}\p{N}"), F.col("n_visible") - _sign(F.col("_t"), "|")))
+        .withColumn("broken_share", _share(_held(F.col("_t"), r"�□■\x7f-\x9f"), F.col("n_visible")))
         .withColumn("symbol_share", F.when(F.col("n_visible") > 0, 1 - F.col("alnum_share")).otherwise(0.0))
-        .withColumn("_common_han", _count(F.col("_t"), "[" + "".join(w for w in ideographic if len(w) == 1) + "]" if any(len(w) == 1 for w in ideographic) else never))
-        .withColumn("_common_long", _count(F.col("_t"), "|".join(w for w in ideographic if len(w) > 1) if any(len(w) > 1 for w in ideographic) else never))
+        .withColumn("_common_han", _held(F.col("_t"), "".join(w for w in ideographic if len(w) == 1)) if any(len(w) == 1 for w in ideographic) else F.lit(0))
+        .withColumn("_common_long", _count(F.col("_t"), "|".join(w for w in ideographic if len(w) > 1)) if any(len(w) > 1 for w in ideographic) else F.lit(0))
         .withColumn("_common_latin", _count(F.col("_t"), r"(?i)(?<![A-Za-z])(?:" + "|".join(latin) + r")(?![A-Za-z])" if latin else never))
         .withColumn("common_share", _share(F.col("_common_han") + F.col("_common_long") + F.col("_common_latin"), F.col("n_words")))
-        .withColumn("rare_share", _share(F.length(F.translate(F.regexp_replace("_t", _HAN.replace("[", "[^", 1), ""), everyday_ideographs(), "")), F.col("n_han")))
+        .withColumn("rare_share", _share(F.length(F.translate(F.regexp_replace("_t", f"[^{_HAN[1:-1]}]+", ""), everyday_ideographs(), "")), F.col("n_han")))
         .withColumn("_chars", total(F.col("_lines"), lambda x: F.lit(True)))
         .withColumn("ended_share", _share(F.size(F.filter("_lines", lambda x: x.rlike(_SENTENCE_END))), F.col("n_lines")))
         .withColumn("bullet_share", _share(total(F.col("_lines"), lambda x: x.rlike(_BULLET) & (F.length(F.trim(x)) <= RULES["entry_length"])), F.col("_chars")))
@@ -116,7 +124,8 @@ def with_statistics(docs: DataFrame, text: str, common_words: list[str]) -> Data
         .withColumn("n_entries", F.size("_entries"))
         .withColumn("entry_share", _share(total(F.col("_entries"), lambda x: F.lit(True)), F.length(F.regexp_replace("_t", r"[,，、;；|\s]+", " "))))
         .withColumn("markup_share", _share(F.length("_t") - F.length(F.regexp_replace("_t", _MARKUP, "")), F.length("_t")))
-        .withColumn("_rows", F.transform("_lines", lambda x: F.struct(_separator(x).alias("sep"), F.length(F.trim(x)).alias("n"))))
+        .withColumn("_bare", F.transform("_lines", lambda x: F.regexp_replace(F.trim(x), '"[^"]*"', "q")))
+        .withColumn("_rows", F.zip_with("_bare", "_lines", lambda b, x: F.struct(_separator(b).alias("sep"), F.length(F.trim(x)).alias("n"))))
         .withColumn("_seps", F.filter(F.col("_rows.sep"), lambda x: x.isNotNull()))
         .withColumn("_mode", F.array_max(F.transform(F.array_distinct("_seps"), lambda s: F.struct(F.size(F.filter("_seps", lambda x: x == s)).alias("n"), s.alias("sep")))))
         .withColumn("column_share", F.coalesce(F.when(F.col("_mode.n") >= 3, _share(F.aggregate(F.filter("_rows", lambda r: r["sep"] == F.col("_mode.sep")), F.lit(0), lambda n, r: n + r["n"]), F.col("_chars"))), F.lit(0.0)))
@@ -143,6 +152,13 @@ def with_kind(df: DataFrame, rules: dict[str, float] = RULES, has_words: bool =
     return df.withColumn("kind_reason", reason).withColumn("text_kind", F.substring_index("kind_reason", " ", 1))
 
 
+def not_prose(judged: DataFrame) -> DataFrame:
+    """The documents with a kind. A filter would be pushed below the statistics and compute them again for itself, several
+    times over; one on a column that isn't deterministic stays where it is."""
+    once = judged.withColumn("_seen", F.monotonically_increasing_id())
+    return once.where(F.col("text_kind").isNotNull() & (F.col("_seen") >= 0)).drop("_seen")
+
+
 def judge(docs: DataFrame, common_words: DataFrame, text: str = "text", word: str = "word") -> DataFrame:
     rows = common_words.select(word).distinct().limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:

@@ -81,7 +81,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_statistics(spark, sf_dir).where(F.col("text_kind").isNotNull()).select("doc_id", "text_kind")
+    return quality.not_prose(p10_statistics(spark, sf_dir)).select("doc_id", "text_kind")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
