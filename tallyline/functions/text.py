@@ -5,6 +5,10 @@ NULL text is ``''`` throughout; a value that can't be read is NULL, an explicit
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ SPACES = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 SEPARATORS = rf"[{SPACES}\-_—–·•]"
 #: Words that stand where an account number is missing.
 PLACEHOLDER = r"待核对|未识别|未知|UNKNOWN|unknown|无账号"
+#: Letters and dashes that recognition puts for the digits and the sign of an amount.
+DIGIT_LOOKALIKES = {**dict.fromkeys("OoОоΟοՕօ", "0"), **dict.fromkeys("lIіІιΙ|ӏӀ", "1"), **dict.fromkeys("−‐‑‒–—―﹣－", "-")}
 
 
 def text(c: Column | str) -> Column:
@@ -95,6 +101,25 @@ def money(c: Column | str, absolute: bool = False) -> Column:
     return F.abs(value) if absolute else value
 
 
+@cache
+def _amount_characters() -> dict[str, str]:
+    """The code points that stand for plain characters of an amount, invisible ones for none."""
+    forms = dict(DIGIT_LOOKALIKES)
+    for code in range(0x80, sys.maxunicode + 1):
+        ch = chr(code)
+        if unicodedata.category(ch) == "Cf":
+            forms[ch] = ""
+        elif ch not in forms and ch != "¥" and (form := unicodedata.normalize("NFKC", ch)) != ch and all(x in "0123456789.,+-¥" for x in form):
+            forms[ch] = form
+    return forms
+
+
+def amount_text(c: Column | str) -> Column:
+    """The text of an amount with full-width and look-alike characters in their plain form and without invisible ones."""
+    forms = F.create_map(*(F.lit(x) for pair in _amount_characters().items() for x in pair))
+    return F.array_join(F.transform(F.split(text(c), ""), lambda ch: F.coalesce(F.try_element_at(forms, ch), ch)), "")
+
+
 def date_of(c: Column | str) -> Column:
     """DAT01: a real day of 1900 to 2099, with separators or compact."""
     bare = F.regexp_replace(text(c), rf"[{SPACES}]", "")

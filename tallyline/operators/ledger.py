@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.functions import text as T
+from tallyline.operators import timestamps
+
 MONEY = r"^-?\d{1,15}(\.\d{1,2})?$"
 
 
@@ -14,15 +17,25 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
+def _printed_days(raw: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The days of each transaction that aren't written plainly, one entry a version and spelling. Only these rows move: the
+    ledger is already spread by transaction when they join it."""
+    days = timestamps.normalise_days(raw, accounts, "tx_id", "transaction_time", "transaction_date", "source_document_id", "branch_zone")
+    return days.groupBy("tx_id").agg(F.collect_set(F.struct("source_document_id", "value", "day")).alias("_days"))
+
+
 def read_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and amounts in every printed form that names one: a day or amount is NULL only if there is none, or none settled."""
     raw = spark.read.parquet(f"{sf_dir}/bank_transactions.parquet")
     bare = F.regexp_replace("amount", "[,¥]", "")
+    plain_day = F.when(F.col("transaction_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("transaction_date", 1, 10)).try_cast("date")
+    own = F.filter("_days", lambda x: x["source_document_id"].eqNullSafe(F.col("source_document_id")) & (x["value"] == F.col("transaction_date")))
     word = lambda c, n: F.coalesce(F.col(c), F.lit("")).alias(n)
-    return latest(raw, "tx_id", "ingested_at").select(
+    return latest(raw, "tx_id", "ingested_at").join(_printed_days(raw, read_accounts(spark, sf_dir)), "tx_id", "left").select(
         "tx_id", F.col("source_document_id").alias("doc"), word("account_number", "acct"), word("account_name", "holder"), word("bank_name", "bank"),
         F.col("transaction_time").alias("tm"),
-        F.when(F.col("transaction_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("transaction_date", 1, 10)).try_cast("date").alias("d"),
-        word("direction", "dir"), F.when(bare.rlike(MONEY), bare).try_cast("decimal(18,2)").alias("amt"),
+        F.coalesce(plain_day, F.get(own, F.lit(0))["day"], T.date_of("transaction_date")).alias("d"),
+        word("direction", "dir"), F.when(bare.rlike(MONEY), bare.try_cast("decimal(18,2)")).otherwise(F.transform(F.array(T.amount_text("amount")), lambda t: T.money(t))[0]).alias("amt"),
         F.when(F.coalesce("balance_available", F.lit(True)), F.col("balance")).alias("bal"),
         word("counterparty_name", "cp_name"), word("counterparty_account", "cp_acct"), word("counterparty_bank", "cp_bank"),
         word("transaction_type", "type"), word("summary", "summary"), word("raw_text", "raw_text"), word("raw_source_file", "file"),

@@ -225,3 +225,15 @@ def normalise_times(rows: DataFrame, accounts: DataFrame, key: str, time: str, d
     regular = (F.col("field_name") == time) & (F.col("zone") == DEFAULT_ZONE) & v.rlike(_PLAIN_TIME) & v.try_cast("timestamp_ntz").isNotNull()
     told = with_norm(joined.where(~regular), F.col("field_name") == time, F.col("zone"), F.col("month_first"))
     return told.select(key, "field_name", "value", "norm").dropDuplicates()
+
+
+def normalise_days(rows: DataFrame, accounts: DataFrame, key: str, time: str, day: str, source: str, zone: str) -> DataFrame:
+    """``(key, source, value, day)`` for each day that isn't written plainly and that names a real and settled day."""
+    profiles = source_profiles(rows, accounts, source, zone, (time, day)).select(source, "month_first")
+    d = F.col(day)
+    wanted = rows.where((F.coalesce(d, F.lit("")) != "") & ~d.rlike(_PLAIN_DAY)).select(key, source, d.alias("value")).dropDuplicates()
+    salted = wanted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    spread = profiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(spread, [source, "salt"], "left").withColumn("month_first", F.coalesce("month_first", F.lit(0.001)))
+    told = with_norm(joined, F.lit(False), F.lit(DEFAULT_ZONE), F.col("month_first"))
+    return told.select(key, source, "value", F.col("norm").try_cast("date").alias("day")).where(F.col("day").isNotNull())
