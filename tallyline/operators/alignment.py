@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyline.operators.repair import paired_by_occurrence
+from tallyline.session import cut_lineage
+
 
 def unique_matches(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
     """JON14: pairs whose key occurs once on either side. Counting is a map-side combined aggregate that also carries the
@@ -21,12 +24,33 @@ def priority_matches(left: DataFrame, right: DataFrame, passes: list[list[str]],
     """JON16, JON17: unique matches by each key set in turn, over the rows that earlier passes left over."""
     out = None
     for n, keys in enumerate(passes):
-        found = unique_matches(left, right, keys, left_id, right_id).select(left_id, right_id, F.lit(n + 1).alias("pass"))
+        # each pass is needed by all later ones: without a cut the plan would triple with every pass
+        found = cut_lineage(unique_matches(left, right, keys, left_id, right_id).select(left_id, right_id, F.lit(n + 1).alias("pass")))
         out = found if out is None else out.unionByName(found)
         left, right = left.join(found, left_id, "left_anti"), right.join(found, right_id, "left_anti")
     return out
 
 
+#: The key sets of JON16, strongest first; the first needs a time.
+EVALUATION_KEYS = [
+    ["account_number", "_timed", "transaction_date", "direction", "amount", "balance", "counterparty_account"],
+    ["account_number", "amount", "balance"],
+    ["account_number", "transaction_date", "direction", "counterparty_account"],
+    ["account_number", "transaction_date", "direction", "amount"],
+    ["transaction_date", "direction", "amount", "balance"],
+]
+
+
+def evaluation_matches(left: DataFrame, right: DataFrame, cells: list[str], left_id: str, right_id: str) -> DataFrame:
+    """JON16: five key sets in priority order, unique on both sides, then what is left over and equal in all cells, one for
+    one. Absent values are ``''`` and equal each other."""
+    shape = lambda df, i: df.select(i, *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in cells)).withColumn("_timed", F.when(F.col("transaction_time") != "", F.col("transaction_time")))
+    left, right = shape(left, left_id), shape(right, right_id)
+    found = priority_matches(left, right, EVALUATION_KEYS, left_id, right_id)
+    rest = paired_by_occurrence(left.join(found, left_id, "left_anti"), right.join(found, right_id, "left_anti"), cells, left_id, right_id)
+    return found.unionByName(rest.withColumn("pass", F.lit(len(EVALUATION_KEYS) + 1)))
+
+
 def multiset_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """AGG18: per key the rows on either side and the smaller of the two, in one aggregate over the union."""
     both = left.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(right.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b")))

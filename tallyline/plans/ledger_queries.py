@@ -221,7 +221,7 @@ def _once(n: str) -> str:
 _add("JON14_unique_anchors", _anchors, "WITH " + ", ".join(_AB) + f" SELECT x.rid AS left_id, y.rid AS right_id FROM {_once('a')} x JOIN {_once('b')} y USING ({', '.join(_ANCHOR)})")
 _add(
     "JON16_priority_matches",
-    lambda s, d: alignment.priority_matches(_cells(s, d, "assembled_rows").withColumnRenamed("rid", "left_id"), _cells(s, d, "independent_rows").withColumnRenamed("rid", "right_id"), [[*ROW_KEY[:1], *CELLS], _ANCHOR, ["source_document_id", "transaction_date", "amount"]], "left_id", "right_id"),
+    lambda s, d: alignment.evaluation_matches(_cells(s, d, "assembled_rows").withColumnRenamed("rid", "left_id"), _cells(s, d, "independent_rows").withColumnRenamed("rid", "right_id"), list(CELLS), "left_id", "right_id"),
 )
 _add(
     "JON15_aligned_pages",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime
 import decimal
 
-from tallyline.operators import ledger
+from tallyline.operators import alignment, ledger
+from tallyline.plans.core import CELLS
 
 
 def _ledger_dir(spark, tmp_path, rows):
@@ -28,3 +29,12 @@ def test_ledger_reads_every_printed_day_and_amount(spark, tmp_path):
     assert [got[f"d{k}"].d for k in range(len(days + odd_days))] == [day] * len(days) + [None] * len(odd_days)
     want = [decimal.Decimal("1234.50")] * (len(amounts) - 1) + [None] * (1 + len(odd_amounts))
     assert [got[f"a{k}"].amt for k in range(len(amounts + odd_amounts))] == want
+
+
+def test_evaluation_matches_pair_absent_values_and_identical_rows(spark):
+    # account, day, time, direction, amount, balance, name, counterparty account
+    rows = {"1": ("a", "d", "t", "IN", "1", "1", "n", None), "2": ("a", "d", None, "IN", "2", "2", None, ""), "3": ("b", "d", "", "IN", "3", "", "", ""), "4": ("b", "d", "", "IN", "3", "", "", "")}
+    left = spark.createDataFrame([(k, *v) for k, v in rows.items()], ["left_id", *CELLS])
+    right = spark.createDataFrame([("7" + k, *(x or "" for x in v)) for k, v in rows.items()], ["right_id", *CELLS])
+    got = alignment.evaluation_matches(left, right, list(CELLS), "left_id", "right_id").collect()
+    assert sorted((r.left_id, r.right_id, r["pass"]) for r in got) == [("1", "71", 1), ("2", "72", 2), ("3", "73", 6), ("4", "74", 6)]
