@@ -116,7 +116,8 @@ def _amount_characters() -> dict[str, str]:
 
 def amount_text(c: Column | str) -> Column:
     """The text of an amount with full-width and look-alike characters in their plain form and without invisible ones."""
-    forms = F.create_map(*(F.lit(x) for pair in _amount_characters().items() for x in pair))
+    # one literal, since a map of many columns is slow to plan wherever the expression is used
+    forms = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in _amount_characters().items())), F.lit("\x01"), F.lit("\x02"))
     return F.array_join(F.transform(F.split(text(c), ""), lambda ch: F.coalesce(F.try_element_at(forms, ch), ch)), "")
 
 

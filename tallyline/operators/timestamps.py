@@ -235,5 +235,9 @@ def normalise_days(rows: DataFrame, accounts: DataFrame, key: str, time: str, da
     salted = wanted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     spread = profiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = salted.join(spread, [source, "salt"], "left").withColumn("month_first", F.coalesce("month_first", F.lit(0.001)))
-    told = with_norm(joined, F.lit(False), F.lit(DEFAULT_ZONE), F.col("month_first"))
-    return told.select(key, source, "value", F.col("norm").try_cast("date").alias("day")).where(F.col("day").isNotNull())
+    # the days of with_norm alone: its instants make plans that use the ledger twice slow to optimise
+    read, t, month_first = F.col("read"), F.col("_text"), F.col("month_first")
+    unsettled = (read["form"] == "last") & (month_first > 1 - SETTLED) & (month_first < SETTLED) & (read["a"] != read["b"])
+    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.regexp_extract(t, _SERIAL, 1).try_cast("int"))
+    told = with_reading(joined, "value").withColumn("day", F.when(t.rlike(r"^\d{5}(\.0*)?$"), serial).when(~F.coalesce(unsettled, F.lit(False)), _day_of(read, month_first >= 0.5)))
+    return told.select(key, source, "value", "day").where(F.col("day").isNotNull())
