@@ -40,6 +40,7 @@ MILESTONES = [
     ("lawsuit_filing_date", "【诉讼保全期间】"), ("judgment_effective_date", "【判决生效后至立案前】"), ("execution_filing_date", "【执行立案后】"),
     ("report_order_served_date", "【报告财产令后】"), ("freeze_date", "【查封冻结后】"), ("settlement_date", "【和解协议后】"),
 ]
+SALTS = 8
 USUAL, BEFORE_DEBT, AFTER_DEBT = "常规期间", "【债务形成前】", "【债务形成后至起诉前】"
 NO_NAME, JUDICIAL_NAME, CASH_NAME = "【无对手方名称／用途待核对】", "【司法机关划扣】", "【现金取现】"
 
@@ -113,6 +114,19 @@ def counterparty_summary(rows: DataFrame) -> DataFrame:
     return out.withColumn("net_out", F.col("total_out") - F.col("total_in"))
 
 
+def row_party_totals(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """JON05: every row with the totals of its counterparty, by its key, else by its trimmed name as the key. Rows are spread
+    over ``SALTS`` parts of a key, since one counterparty may hold a tenth of them."""
+    summary = summary.select("cp_key", "total_in", "total_out").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_name = summary.select(F.col("cp_key").alias("name_key"), "salt", F.col("total_in").alias("name_in"), F.col("total_out").alias("name_out"))
+    keyed = rows.select(
+        "tx_id", T.counterparty_key("cp_acct", "cp_name", "cp_bank", "doc", "tx_id").alias("cp_key"), F.pmod(F.xxhash64("tx_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.when(F.trim("cp_name") != "", F.concat(F.lit("name:"), T.person_name("cp_name"))).alias("name_key"),
+    )
+    found = keyed.join(summary, ["cp_key", "salt"], "left").join(by_name, ["name_key", "salt"], "left")
+    return found.select("tx_id", F.coalesce("total_in", "name_in").alias("total_in"), F.coalesce("total_out", "name_out").alias("total_out"))
+
+
 def flow_categories(rows: DataFrame) -> DataFrame:
     """AGG03."""
     classed = rows.withColumn("flow", flow_class()).where(F.col("flow").isNotNull())

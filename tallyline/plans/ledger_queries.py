@@ -186,7 +186,7 @@ _add(
 )
 _add(
     "JON05_row_party_totals",
-    lambda s, d: (lambda led: led.withColumn("cp_key", T.counterparty_key("cp_acct", "cp_name", "cp_bank", "doc", "tx_id")).where("amt >= 20000").join(flows.counterparty_summary(led).select("cp_key", "total_in", "total_out"), "cp_key").select("tx_id", "total_in", "total_out"))(_led(s, d)),
+    lambda s, d: (lambda led: flows.row_party_totals(led, flows.counterparty_summary(led)))(_led(s, d)),
     _sql(f"""SELECT tx_id, total_in, total_out FROM (SELECT tx_id, amt, CAST(coalesce(sum(CASE WHEN dir = 'IN' THEN amt END) OVER (PARTITION BY k), 0) AS DECIMAL(28,2)) AS total_in, CAST(coalesce(sum(CASE WHEN dir = 'OUT' THEN amt END) OVER (PARTITION BY k), 0) AS DECIMAL(28,2)) AS total_out
       FROM (SELECT *, {_PARTY_KEY} AS k FROM led)) WHERE amt >= 20000"""),
 )

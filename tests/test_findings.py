@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime
 import decimal
 
-from tallyline.operators import alignment, ledger
+from tallyline.operators import alignment, flows, ledger
+from tallyline.plans import registry
 from tallyline.plans.core import CELLS
 
 
@@ -38,3 +39,16 @@ def test_evaluation_matches_pair_absent_values_and_identical_rows(spark):
     right = spark.createDataFrame([("7" + k, *(x or "" for x in v)) for k, v in rows.items()], ["right_id", *CELLS])
     got = alignment.evaluation_matches(left, right, list(CELLS), "left_id", "right_id").collect()
     assert sorted((r.left_id, r.right_id, r["pass"]) for r in got) == [("1", "71", 1), ("2", "72", 2), ("3", "73", 6), ("4", "74", 6)]
+
+
+def test_party_totals_are_given_to_every_row(spark, tmp_path):
+    rows = [{"tx_id": f"t{k}", "direction": "OUT", "counterparty_name": "n", "amount": v} for k, v in enumerate(["30000", "5", None])]
+    got = registry.queries()["JON05_row_party_totals"](spark, _ledger_dir(spark, tmp_path, rows)).collect()
+    assert sorted((r.tx_id, r.total_in, r.total_out) for r in got) == [(f"t{k}", 0, 30005) for k in range(3)]
+
+
+def test_party_totals_fall_back_to_the_name(spark):
+    rows = spark.createDataFrame([("t", "D", "", "622200001111", " 甲 乙 "), ("u", "D", "", "622200002222", "")], "tx_id string, doc string, cp_bank string, cp_acct string, cp_name string")
+    summary = spark.createDataFrame([("name:甲乙", 1, 2)], "cp_key string, total_in int, total_out int")
+    got = flows.row_party_totals(rows, summary).collect()
+    assert sorted((r.tx_id, r.total_in, r.total_out) for r in got) == [("t", 1, 2), ("u", None, None)]
