@@ -188,10 +188,10 @@ class CanonicalMatcher:
         return key.strip()
 
     def _most_similar(self, key: str) -> str | None:
-        if len(key) > LONG:
-            return None
         if self.kinds and _ideographic(key):
             return self._most_similar_brand(key)
+        if len(key) > LONG:
+            return None
         tokens = Counter(self._tokens_of(key))
         total, scored = sum(tokens.values()), []
         for ref, name, own in self._tokens:
