@@ -114,11 +114,23 @@ def _amount_characters() -> dict[str, str]:
     return forms
 
 
+@cache
+def amount_forms() -> tuple[str, str, dict[str, str]]:
+    """The characters with a plain counterpart of one character and those counterparts in the same order, invisible ones
+    last and without any, and the few that stand for several characters."""
+    forms = _amount_characters()
+    one = {a: b for a, b in forms.items() if len(b) == 1}
+    return "".join([*one, *(a for a, b in forms.items() if not b)]), "".join(one.values()), {a: b for a, b in forms.items() if len(b) > 1}
+
+
 def amount_text(c: Column | str) -> Column:
     """The text of an amount with full-width and look-alike characters in their plain form and without invisible ones."""
-    # one literal, since a map of many columns is slow to plan wherever the expression is used
-    forms = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in _amount_characters().items())), F.lit("\x01"), F.lit("\x02"))
-    return F.array_join(F.transform(F.split(text(c), ""), lambda ch: F.coalesce(F.try_element_at(forms, ch), ch)), "")
+    odd, plain, several = amount_forms()
+    one = F.translate(text(c), odd, plain)
+    # a literal map, looked up character by character, for the rows alone that hold a sign of several characters
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in several.items())), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    return F.when(one.rlike("[" + "".join(several) + "]"), spelled).otherwise(one)
 
 
 def date_of(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import text as T
 from tallyline.operators import timestamps
+from tallyline.session import written_once
 
 MONEY = r"^-?\d{1,15}(\.\d{1,2})?$"
 
@@ -21,21 +22,30 @@ def _printed_days(raw: DataFrame, accounts: DataFrame) -> DataFrame:
     """The days of each transaction that aren't written plainly, one entry a version and spelling. Only these rows move: the
     ledger is already spread by transaction when they join it."""
     days = timestamps.normalise_days(raw, accounts, "tx_id", "transaction_time", "transaction_date", "source_document_id", "branch_zone")
-    return days.groupBy("tx_id").agg(F.collect_set(F.struct("source_document_id", "value", "day")).alias("_days"))
+    return days.groupBy("tx_id").agg(F.collect_set(F.when(F.col("day").isNotNull(), F.struct("source_document_id", "value", "day"))).alias("_days"))
 
 
 def read_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed ledger of a folder. Reading print is costly and every ledger query needs it, so the typed rows are written
+    once an application, narrow and by column, and each query reads the columns it needs."""
+    paths = [f"{sf_dir}/bank_transactions.parquet", f"{sf_dir}/accounts.parquet"]
+    return written_once(spark, "ledger", paths, lambda: typed_ledger(spark, sf_dir))
+
+
+def typed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and amounts in every printed form that names one: a day or amount is NULL only if there is none, or none settled."""
     raw = spark.read.parquet(f"{sf_dir}/bank_transactions.parquet")
     bare = F.regexp_replace("amount", "[,¥]", "")
     plain_day = F.when(F.col("transaction_date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("transaction_date", 1, 10)).try_cast("date")
     own = F.filter("_days", lambda x: x["source_document_id"].eqNullSafe(F.col("source_document_id")) & (x["value"] == F.col("transaction_date")))
     word = lambda c, n: F.coalesce(F.col(c), F.lit("")).alias(n)
-    return latest(raw, "tx_id", "ingested_at").join(_printed_days(raw, read_accounts(spark, sf_dir)), "tx_id", "left").select(
+    rows = latest(raw, "tx_id", "ingested_at").join(_printed_days(raw, read_accounts(spark, sf_dir)), "tx_id", "left")
+    # each step a projection of its own, which keeps the generated code of any one small
+    rows = rows.withColumn("_d", F.coalesce(plain_day, F.get(own, F.lit(0))["day"])).withColumn("_plain", F.when(bare.rlike(MONEY), bare.try_cast("decimal(18,2)")))
+    rows = rows.withColumn("_amount", F.when(F.col("_plain").isNull(), T.amount_text("amount"))).withColumn("_date", F.when(F.col("_d").isNull(), F.col("transaction_date")))
+    return rows.select(
         "tx_id", F.col("source_document_id").alias("doc"), word("account_number", "acct"), word("account_name", "holder"), word("bank_name", "bank"),
-        F.col("transaction_time").alias("tm"),
-        F.coalesce(plain_day, F.get(own, F.lit(0))["day"], T.date_of("transaction_date")).alias("d"),
-        word("direction", "dir"), F.when(bare.rlike(MONEY), bare.try_cast("decimal(18,2)")).otherwise(F.transform(F.array(T.amount_text("amount")), lambda t: T.money(t))[0]).alias("amt"),
+        F.col("transaction_time").alias("tm"), F.coalesce("_d", T.date_of("_date")).alias("d"), word("direction", "dir"), F.coalesce("_plain", T.money("_amount")).alias("amt"),
         F.when(F.coalesce("balance_available", F.lit(True)), F.col("balance")).alias("bal"),
         word("counterparty_name", "cp_name"), word("counterparty_account", "cp_acct"), word("counterparty_bank", "cp_bank"),
         word("transaction_type", "type"), word("summary", "summary"), word("raw_text", "raw_text"), word("raw_source_file", "file"),
@@ -59,22 +69,51 @@ def with_case(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     return ledger.withColumn("salt", salt).join(dims, ["doc", "salt"], "left").drop("salt")
 
 
-#: The same ledger for the SQL side.
-LEDGER_SQL = r"""
+def _amount_sql(c: str) -> str:
+    """An amount from print, as the SQL side reads it."""
+    odd, plain, several = T.amount_forms()
+    one = f"translate(coalesce({c},''), '{odd}', '{plain}')"
+    spelled = one
+    for a, b in several.items():
+        spelled = f"replace({spelled}, '{a}', '{b}')"
+    text = f"(CASE WHEN regexp_matches({one}, '[{''.join(several)}]') THEN {spelled} ELSE {one} END)"
+    bare = f"regexp_replace({text}, '[{T.SPACES}¥￥]|元$', '', 'g')"
+    return rf"CASE WHEN regexp_matches({bare}, '^[+-]?(\d{{1,3}}(,\d{{3}})+|\d{{1,15}})(\.\d{{1,2}})?$') THEN TRY_CAST(replace({bare}, ',', '') AS DECIMAL(18,2)) END"
+
+
+def _day_sql(t: str) -> str:
+    """A day that isn't written plainly, from its trimmed text in capitals; years last are read in the order of the branch's country."""
+    day = lambda p, y, m, d: f"TRY_CAST(regexp_extract({t}, '{p}', {y}) || '-' || regexp_extract({t}, '{p}', {m}) || '-' || regexp_extract({t}, '{p}', {d}) AS DATE)"
+    named = lambda p, y, m, d: f"TRY_CAST(regexp_extract({t}, '{p}', {y}) || '-' || CAST((position(regexp_extract({t}, '{p}', {m}) IN 'JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC') + 2) / 3 AS INT) || '-' || regexp_extract({t}, '{p}', {d}) AS DATE)"
+    p = {k: v for k, v in timestamps.day_patterns().items()}
+    return rf"""CASE WHEN regexp_matches({t}, '^\d{{5}}(\.0*)?$') THEN DATE '1899-12-30' + CAST(regexp_extract({t}, '^(\d{{5}})', 1) AS INT)
+      WHEN regexp_matches({t}, '{p["first"]}') THEN {day(p["first"], 1, 2, 3)} WHEN regexp_matches({t}, '{p["stamp"]}') THEN {day(p["stamp"], 1, 2, 3)} WHEN regexp_matches({t}, '{p["compact"]}') THEN {day(p["compact"], 1, 2, 3)}
+      WHEN regexp_matches({t}, '{p["last"]}') THEN CASE WHEN month_first THEN {day(p["last"], 3, 1, 2)} ELSE {day(p["last"], 3, 2, 1)} END
+      WHEN regexp_matches({t}, '{p["day_name"]}') THEN {named(p["day_name"], 3, 2, 1)} WHEN regexp_matches({t}, '{p["name_day"]}') THEN {named(p["name_day"], 3, 1, 2)} END"""
+
+
+_SQL_TEXT = f"regexp_replace(coalesce(transaction_date,''), '[{T.SPACES}]', '', 'g')"
+#: The same ledger for the SQL side, in which a year-last day is read in the order of the branch's country.
+LEDGER_SQL = rf"""
 led AS (
-  SELECT * FROM (
-    SELECT tx_id, source_document_id AS doc, coalesce(account_number,'') AS acct, coalesce(account_name,'') AS holder, coalesce(bank_name,'') AS bank,
-      transaction_time AS tm,
-      CASE WHEN regexp_matches(transaction_date, '^\d{4}-\d{2}-\d{2}') THEN TRY_CAST(substr(transaction_date,1,10) AS DATE) END AS d,
+  SELECT tx_id, doc, acct, holder, bank, tm, coalesce(plain_d, CASE WHEN odd THEN {_day_sql("txt")} END,
+      CASE WHEN regexp_matches(sq, '^(19|20)\d{{2}}[-/.年]\d{{1,2}}[-/.月]\d{{1,2}}日?') THEN TRY_CAST(regexp_replace(sq, '^(\d{{4}})[-/.年](\d{{1,2}})[-/.月](\d{{1,2}}).*$', '\1-\2-\3') AS DATE)
+        WHEN regexp_matches(sq, '^(19|20)\d{{6}}$') THEN TRY_CAST(substr(sq,1,4) || '-' || substr(sq,5,2) || '-' || substr(sq,7,2) AS DATE) END) AS d,
+    dir, amt, bal, cp_name, cp_acct, cp_bank, type, summary, raw_text, file, page, rowno, status, conf, dup_of FROM (
+    SELECT tx_id, source_document_id AS doc, coalesce(b.account_number,'') AS acct, coalesce(b.account_name,'') AS holder, coalesce(b.bank_name,'') AS bank,
+      transaction_time AS tm, coalesce(regexp_matches(a.branch_zone, '{timestamps.MONTH_FIRST_ZONES}'), false) AS month_first,
+      CASE WHEN regexp_matches(transaction_date, '^\d{{4}}-\d{{2}}-\d{{2}}') THEN TRY_CAST(substr(transaction_date,1,10) AS DATE) END AS plain_d,
+      coalesce(transaction_date,'') <> '' AND NOT regexp_matches(transaction_date, '^\d{{4}}-\d{{2}}-\d{{2}}$') AS odd,
+      upper(trim(transaction_date, ' ')) AS txt, {_SQL_TEXT} AS sq,
       coalesce(direction,'') AS dir,
-      CASE WHEN regexp_matches(regexp_replace(amount,'[,¥]','','g'), '^-?\d{1,15}(\.\d{1,2})?$') THEN CAST(regexp_replace(amount,'[,¥]','','g') AS DECIMAL(18,2)) END AS amt,
+      CASE WHEN regexp_matches(regexp_replace(amount,'[,¥]','','g'), '^-?\d{{1,15}}(\.\d{{1,2}})?$') THEN CAST(regexp_replace(amount,'[,¥]','','g') AS DECIMAL(18,2)) ELSE {_amount_sql("amount")} END AS amt,
       CASE WHEN coalesce(balance_available,true) THEN balance END AS bal,
       coalesce(counterparty_name,'') AS cp_name, coalesce(counterparty_account,'') AS cp_acct, coalesce(counterparty_bank,'') AS cp_bank,
       coalesce(transaction_type,'') AS type, coalesce(summary,'') AS summary, coalesce(raw_text,'') AS raw_text, coalesce(raw_source_file,'') AS file,
       coalesce(raw_page_number,0) AS page, coalesce(raw_row_index,0) AS rowno, coalesce(review_status,'') AS status, extraction_confidence AS conf,
       coalesce(duplicate_of_transaction_id,'') AS dup_of,
       row_number() OVER (PARTITION BY tx_id ORDER BY ingested_at DESC) AS rn
-    FROM bank_transactions) WHERE rn = 1)
+    FROM bank_transactions b LEFT JOIN (SELECT source_document_id, min(branch_zone) AS branch_zone FROM accounts GROUP BY 1) a USING (source_document_id)) WHERE rn = 1)
 """
 
 

@@ -1,10 +1,12 @@
 """Raw comma-separated records told apart into typed rows and rows with a reason for failure.
 
-A quote-aware finite-state tokenizer reads the records. Records are cut into chunks of ``CHUNK`` characters; every chunk
-is run from every state at once, one table lookup per character position over all chunks of an Arrow batch, which gives
-the chunk's transition function; the functions of a record's chunks are composed from left to right, which gives each
-chunk's true start state; and one more pass marks the separators. So a record of any length costs a linear amount of
-vector work and none is read character by character in Python.
+A quote-aware finite-state tokenizer reads the records. Records are cut into chunks of ``CHUNK`` characters, fewer than
+most records have; every chunk is run from every state at once, one table lookup per character position over all chunks
+of a slab, which gives the chunk's transition function; the functions of a record's chunks are composed by doubling
+(each with the one before, then two before, then four), which gives each chunk's true start state; and one more pass
+marks the separators. So a record of any length costs a linear amount of vector work and none is read character by
+character in Python. A slab is so many records as hold ``SLAB`` characters, so an Arrow batch of large records doesn't
+multiply in memory.
 
 Records are independent: the operator is one Arrow stage without a shuffle.
 
@@ -32,7 +34,8 @@ COLUMNS = (
     "account_number", "account_name", "bank_name", "transaction_time", "transaction_date", "direction",
     "amount", "balance", "transaction_type", "counterparty_name", "counterparty_account", "counterparty_bank",
 )
-CHUNK = 256
+CHUNK = 64
+SLAB = 1 << 22
 #: The start of a field, inside an unquoted one, inside quotes, after a quote inside quotes, after a closed field's spaces, failed.
 START, BARE, QUOTED, QUOTE_IN_QUOTED, CLOSED, FAILED = range(6)
 #: Character classes.
@@ -72,6 +75,20 @@ def _chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, firsts
 
 
+def slabs(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of ``SLAB`` characters or of one longer text."""
+    out: list[str] = []
+    held = 0
+    for text in texts:
+        if out and held + len(text) > SLAB:
+            yield out
+            out, held = [], 0
+        out.append(text)
+        held += max(CHUNK, len(text))
+    if out:
+        yield out
+
+
 def tokenize(texts: list[str]) -> list[tuple[list[str] | None, int]]:
     """For each record its fields as written, or None and the offset at which its quoting fails."""
     if not texts:
@@ -85,11 +102,17 @@ def tokenize(texts: list[str]) -> list[tuple[list[str] | None, int]]:
     width = int((kinds != END).sum(axis=1).max(initial=1))
     for k in range(width):
         states = _NEXT[states, kinds[:, k : k + 1]]
-    # composition within records: the start state of each chunk
+    # composition within records by doubling: after a step of d, a chunk's function covers the 2d chunks up to it
+    rank = np.arange(n) - np.repeat(firsts[:-1], np.diff(firsts))
+    step, upto = 1, states
+    while step <= rank.max(initial=0):
+        at = np.nonzero(rank >= step)[0]
+        composed = upto.copy()
+        composed[at] = np.take_along_axis(upto[at], upto[at - step].astype(np.intp), axis=1)
+        step, upto = 2 * step, composed
     start = np.zeros(n, np.uint8)
-    later = np.setdiff1d(np.arange(n), firsts[:-1])
-    for k in later:
-        start[k] = states[k - 1, start[k - 1]]
+    later = np.nonzero(rank)[0]
+    start[later] = upto[later - 1, START]
     current, separator, failed = start.copy(), np.zeros(kinds.shape, bool), np.full(n, -1)
     for k in range(width):
         after = _NEXT[current, kinds[:, k]]
@@ -119,7 +142,7 @@ def _value(field: str) -> str:
 def read_records(texts: list[str]) -> list[tuple[list[str] | None, str | None, int]]:
     """For each record its twelve values, or the first reason why it fails and the offset of the offending place."""
     out: list[tuple[list[str] | None, str | None, int]] = []
-    for fields, bad in tokenize(texts):
+    for fields, bad in (read for slab in slabs(texts) for read in tokenize(slab)):
         if fields is None:
             out.append((None, "QUOTING", bad))
             continue

@@ -1,9 +1,13 @@
 """Mixed printed forms and zones of times and days, brought to one instant or day each.
 
-Every printed form is a pattern with a reading. Forms that only one reading fits are read by column expressions alone.
-Year-last numeric forms have two readings, day first and month first; which one a source uses is estimated by
-expectation-maximisation over the mixture of its forms: a value that is a real day under one reading only is evidence
-for it, values that fit both share their weight by the current posterior, and the branch's country is the prior.
+Every printed form is a pattern with a reading, and a value has a likelihood under each reading that names a real day.
+Values of year-first, named, compact, spreadsheet and epoch forms fit one reading only, so its posterior is one.
+Year-last numeric values may fit two, day first and month first. Which one is meant is estimated by
+expectation-maximisation over the mixture of readings: a value that is a real day under one reading only is evidence for
+it, values that fit both share their weight by the current posterior. The mixture has two levels. A zone's is estimated
+from the values of all its sources, the custom of its country counting as ``CUSTOM_COUNTS`` values; a source's is drawn
+to its zone's by ``ZONE_COUNTS`` values, so that a branch that writes as its country does is read as it even where its
+own values settle nothing, and one with evidence of its own against it isn't.
 The statistics of a source are three counts, aggregated on the map side before the shuffle and iterated inside one
 expression, so no source, however large, is gathered anywhere. Posteriors between ``SETTLED`` and ``1 - SETTLED`` leave
 the value explicitly ``AMBIGUOUS``.
@@ -33,8 +37,9 @@ INVALID, AMBIGUOUS, NONEXISTENT = "INVALID", "AMBIGUOUS", "NONEXISTENT"
 SALTS = 8
 SETTLED = 0.9
 ITERATIONS = 12
-#: The weight of the branch's country, as so many settled values of its form.
-PRIOR_COUNTS = 1000.0
+#: The weight of the country's custom for a zone, and of the zone for a source, as so many settled values.
+CUSTOM_COUNTS = 2.0
+ZONE_COUNTS = 10.0
 #: Zones of branches whose country writes the month first when the year is last.
 MONTH_FIRST_ZONES = r"^(America/(New_York|Chicago|Denver|Los_Angeles|Phoenix|Anchorage|Detroit|Boise|Indiana/.*|Kentucky/.*|North_Dakota/.*)|US/.*|Pacific/Honolulu)$"
 #: Zone abbreviations and their offsets in minutes.
@@ -61,6 +66,12 @@ _SERIAL = r"^(\d{5})(\.\d{1,12})?$"
 _EPOCH = r"^(\d{10})(\d{3})?$"
 
 
+def day_patterns() -> dict[str, str]:
+    """The whole pattern of each form that names a day, in the order in which they are tried."""
+    forms = {"first": _YEAR_FIRST + _REST, "stamp": _COMPACT_STAMP[1:], "compact": _COMPACT_DAY + _REST, "last": _YEAR_LAST + _REST, "day_name": _DAY_NAME + _REST, "name_day": _NAME_DAY + _REST}
+    return {name: f"^{pattern}" for name, pattern in forms.items()}
+
+
 def _int(text: Column) -> Column:
     return F.when(text != "", text).try_cast("int")
 
@@ -136,15 +147,14 @@ def _epoch_seconds(day: Column, seconds: Column) -> Column:
     return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + seconds
 
 
-def month_first_posterior(day_only: Column, month_only: Column, either: Column, month_first_country: Column) -> Column:
-    """The share of a source's year-last values that put the month first, by expectation-maximisation.
+def month_first_share(day_only: Column, month_only: Column, either: Column, prior: Column, counts: float) -> Column:
+    """The share of year-last values that put the month first, by expectation-maximisation.
 
     E: a value that fits both readings is month-first with the current share; M: the share is the month-first weight
-    over all, the country counting as ``PRIOR_COUNTS`` values.
+    over all, the prior share counting as ``counts`` values.
     """
-    prior = F.when(month_first_country, F.lit(0.999)).otherwise(F.lit(0.001))
-    settled = month_only + prior * PRIOR_COUNTS
-    total = day_only + month_only + either + PRIOR_COUNTS
+    settled = month_only + prior * counts
+    total = day_only + month_only + either + counts
     return F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), prior, lambda share, _: (settled + either * share) / total)
 
 
@@ -155,10 +165,13 @@ def known_zones() -> list[str]:
     return ["UTC", "GMT", DEFAULT_ZONE, *sorted(z for z in available_timezones() if re.fullmatch(regions, z))]
 
 
-def source_profiles(rows: DataFrame, accounts: DataFrame, source: str, zone: str, columns: tuple[str, ...]) -> DataFrame:
-    """``(source, zone, month_first)`` of every account source, ``month_first`` being the posterior of its mixture."""
+def source_profiles(rows: DataFrame, accounts: DataFrame, source: str, zone: str, columns: tuple[str, ...], customs: bool = True) -> DataFrame:
+    """``(source, zone, month_first)`` of every account source, ``month_first`` being the posterior of its mixture.
+
+    Without ``customs`` no country has one, and the values alone decide."""
     known = F.col(zone).isin(known_zones())
     dims = accounts.groupBy(source).agg(F.min(F.when(known, F.col(zone))).alias("zone"))
+    dims = dims.select(source, F.coalesce("zone", F.lit(DEFAULT_ZONE)).alias("zone"))
     written = rows.select(source, F.explode(F.array(*columns)).alias("t")).where(F.col("t").rlike(rf"^\s*{_YEAR_LAST}"))
     split = written.select(source, F.split(F.regexp_extract(F.trim("t"), r"^([\d/.-]+)", 1), "[-/.]").alias("n"))
     numbers = split.select(source, *(F.col("n")[k].try_cast("int").alias(c) for k, c in enumerate("aby")))
@@ -166,9 +179,14 @@ def source_profiles(rows: DataFrame, accounts: DataFrame, source: str, zone: str
     md, dm = F.col("md"), F.col("dm")
     count = lambda c: F.sum(c.cast("double"))
     stats = last.groupBy(source).agg(count(dm & ~md).alias("day_only"), count(md & ~dm).alias("month_only"), count(md & dm).alias("either"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    month_first_country = F.coalesce(F.col("zone").rlike(MONTH_FIRST_ZONES), F.lit(False))
-    return dims.join(stats, source, "left").select(source, F.coalesce("zone", F.lit(DEFAULT_ZONE)).alias("zone"), month_first_posterior(zero("day_only"), zero("month_only"), zero("either"), month_first_country).alias("month_first"))
+    names = ("day_only", "month_only", "either")
+    counted = dims.join(stats, source, "left").select(source, "zone", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
+    custom = F.when(F.col("zone").rlike(MONTH_FIRST_ZONES), 0.999).otherwise(0.001) if customs else F.lit(0.5)
+    summed = counted.groupBy("zone").agg(*(F.sum(c).alias(f"zone_{c}") for c in names))
+    # one row a zone of the zone database, which known_zones() bounds
+    zones = summed.select("zone", month_first_share(*(F.col(f"zone_{c}") for c in names), custom, CUSTOM_COUNTS).alias("zone_share"))
+    shares = counted.join(F.broadcast(zones), "zone")
+    return shares.select(source, "zone", month_first_share(*(F.col(c) for c in names), F.col("zone_share"), ZONE_COUNTS).alias("month_first"))
 
 
 def with_norm(df: DataFrame, is_time: Column, zone: Column, month_first: Column) -> DataFrame:
@@ -228,7 +246,7 @@ def normalise_times(rows: DataFrame, accounts: DataFrame, key: str, time: str, d
 
 
 def normalise_days(rows: DataFrame, accounts: DataFrame, key: str, time: str, day: str, source: str, zone: str) -> DataFrame:
-    """``(key, source, value, day)`` for each day that isn't written plainly and that names a real and settled day."""
+    """``(key, source, value, day)`` for each day that isn't written plainly; NULL where it names no real and settled day."""
     profiles = source_profiles(rows, accounts, source, zone, (time, day)).select(source, "month_first")
     d = F.col(day)
     wanted = rows.where((F.coalesce(d, F.lit("")) != "") & ~d.rlike(_PLAIN_DAY)).select(key, source, d.alias("value")).dropDuplicates()
@@ -240,4 +258,5 @@ def normalise_days(rows: DataFrame, accounts: DataFrame, key: str, time: str, da
     unsettled = (read["form"] == "last") & (month_first > 1 - SETTLED) & (month_first < SETTLED) & (read["a"] != read["b"])
     serial = F.date_add(F.lit("1899-12-30").cast("date"), F.regexp_extract(t, _SERIAL, 1).try_cast("int"))
     told = with_reading(joined, "value").withColumn("day", F.when(t.rlike(r"^\d{5}(\.0*)?$"), serial).when(~F.coalesce(unsettled, F.lit(False)), _day_of(read, month_first >= 0.5)))
-    return told.select(key, source, "value", "day").where(F.col("day").isNotNull())
+    # no filter on the day here: it would be pushed down and compute the reading again
+    return told.select(key, source, "value", "day")

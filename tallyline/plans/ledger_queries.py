@@ -142,6 +142,8 @@ _add(
     _sql("SELECT tx_id, sha256(tx_id || chr(31) || dir || chr(31) || coalesce(amt::VARCHAR,'') || chr(31) || cp_name) AS hash FROM led"),
 )
 
+_IN, _OUT = "CAST(coalesce(sum(CASE WHEN dir = 'IN' THEN amt END), 0) AS DECIMAL(28,2))", "CAST(coalesce(sum(CASE WHEN dir = 'OUT' THEN amt END), 0) AS DECIMAL(28,2))"
+
 # --- joins -------------------------------------------------------------------------------------------------------
 
 _COMP = rf"""comp AS (SELECT *, {_ident('acct')} AS part, nullif(regexp_extract(coalesce(tm,''), '(\d{{2}}:\d{{2}}:\d{{2}})', 1), '') AS clock, {_ident('cp_acct')} AS n_cp,
@@ -187,8 +189,9 @@ _add(
 _add(
     "JON05_row_party_totals",
     lambda s, d: (lambda led: flows.row_party_totals(led, flows.counterparty_summary(led)))(_led(s, d)),
-    _sql(f"""SELECT tx_id, total_in, total_out FROM (SELECT tx_id, amt, CAST(coalesce(sum(CASE WHEN dir = 'IN' THEN amt END) OVER (PARTITION BY k), 0) AS DECIMAL(28,2)) AS total_in, CAST(coalesce(sum(CASE WHEN dir = 'OUT' THEN amt END) OVER (PARTITION BY k), 0) AS DECIMAL(28,2)) AS total_out
-      FROM (SELECT *, {_PARTY_KEY} AS k FROM led)) WHERE amt >= 20000"""),
+    _sql(f"""SELECT k.tx_id, coalesce(x.total_in, y.total_in) AS total_in, coalesce(x.total_out, y.total_out) AS total_out
+      FROM (SELECT tx_id, {_PARTY_KEY} AS key, CASE WHEN trim(cp_name, ' ') <> '' THEN 'name:' || {_PERSON.replace('{c}', 'cp_name')} END AS name_key FROM led) k
+      LEFT JOIN summ x ON x.cp_key = k.key LEFT JOIN summ y ON y.cp_key = k.name_key""", f"summ AS (SELECT {_PARTY_KEY} AS cp_key, {_IN} AS total_in, {_OUT} AS total_out FROM led GROUP BY 1)"),
 )
 _add(
     "JON11_suffix_accounts",
@@ -237,7 +240,6 @@ _add(
 
 # --- aggregates --------------------------------------------------------------------------------------------------
 
-_IN, _OUT = "CAST(coalesce(sum(CASE WHEN dir = 'IN' THEN amt END), 0) AS DECIMAL(28,2))", "CAST(coalesce(sum(CASE WHEN dir = 'OUT' THEN amt END), 0) AS DECIMAL(28,2))"
 
 
 def _since(side: str, c: str, name: str) -> str:
