@@ -38,14 +38,18 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.normalise_lookalikes(_table(spark, sf_dir, "bank_transactions"), "tx_id")
 
 
-def _survived(spark: SparkSession, sf_dir: str, dominant: bool = True) -> DataFrame:
+def _survived(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     order = representative.trust_order("review_status", "extraction_confidence", "extracted_at")
-    return representative.surviving_values(_table(spark, sf_dir, "observations"), "event_id", "obs_id", order, dominant=dominant)
+    return representative.surviving_values(_table(spark, sf_dir, "observations"), "event_id", "obs_id", order, **options)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    torn = _survived(spark, sf_dir).where(F.col("n_values") > 1)
-    return torn.select(F.col("grp").alias("event_id"), "field_name", F.col("record").alias("obs_id"))
+    return _survived(spark, sf_dir, torn_only=True).select(F.col("grp").alias("event_id"), "field_name", F.col("record").alias("obs_id"))
+
+
+def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields decided by the records' votes alone."""
+    return _survived(spark, sf_dir, torn_only=True, by_votes=True).select(F.col("grp").alias("event_id"), "field_name", F.col("record").alias("obs_id"), "value")
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p2_votes": p2_votes,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p5_found": p5_found,
