@@ -100,22 +100,37 @@ def mapping_rows() -> list[tuple]:
 
 
 @cache
-def composition_rows() -> list[tuple[str, str]]:
-    """``(fully decomposed sequence, composed character)``."""
-    rows = {}
+def composition_pairs() -> dict[str, str]:
+    """``{starter and mark: composed character}`` of every canonical composition but Hangul's."""
+    pairs = {}
     for code in range(0xA0, sys.maxunicode + 1):
         ch = chr(code)
         if not 0xAC00 <= code <= 0xD7A3 and unicodedata.decomposition(ch) and not unicodedata.decomposition(ch).startswith("<"):
-            apart = unicodedata.normalize("NFD", ch)
-            if len(apart) > 1 and unicodedata.normalize("NFC", apart) == ch:
-                rows[apart] = ch
-    return sorted(rows.items())
+            apart = "".join(chr(int(x, 16)) for x in unicodedata.decomposition(ch).split())
+            if len(apart) == 2 and unicodedata.normalize("NFC", apart) == ch:
+                pairs[apart] = ch
+    return pairs
 
 
-def _tables(spark) -> tuple[DataFrame, DataFrame]:
+def composed(parts: Column) -> Column:
+    """A starter and its marks in canonical order, composed: each mark joins the starter if the pair composes and no mark
+    of its class was left standing before it."""
+    pairs = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in composition_pairs().items())), F.lit("\x01"), F.lit("\x02"))
+
+    def take(s: Column, x: Column) -> Column:
+        pair = F.try_element_at(pairs, F.concat(s["base"], x["out"]))
+        joined = F.struct(pair.alias("base"), s["left"].alias("left"), s["last"].alias("last"))
+        kept = F.struct(s["base"].alias("base"), F.concat(s["left"], x["out"]).alias("left"), x["ccc"].alias("last"))
+        return F.when(pair.isNotNull() & (s["last"] != x["ccc"]), joined).otherwise(kept)
+
+    start = F.struct(F.coalesce(F.get(parts, F.lit(0))["out"], F.lit("")).alias("base"), F.lit("").alias("left"), F.lit(-1).alias("last"))
+    whole = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, take, lambda s: F.concat(s["base"], s["left"]))
+    return F.when(F.size(parts) <= 1, start["base"]).otherwise(whole)
+
+
+def _tables(spark) -> DataFrame:
     pieces = "array<struct<place: int, ccc: int, out: string>>"
-    mapping = spark.createDataFrame(mapping_rows(), f"cp string, pieces {pieces}, {NUMERIC} {pieces}, {TO_LATIN} {pieces}, {FROM_LATIN} {pieces}")
-    return mapping, spark.createDataFrame(composition_rows(), "seq string, composed string")
+    return spark.createDataFrame(mapping_rows(), f"cp string, pieces {pieces}, {NUMERIC} {pieces}, {TO_LATIN} {pieces}, {FROM_LATIN} {pieces}")
 
 
 def _context(numeric: Column, word: Column, value: Column) -> Column:
@@ -142,7 +157,7 @@ def canonical_text(values: DataFrame, key: str, numeric_fields: tuple[str, ...]
 
     ``values`` must have no repeated rows, as ``suspicious`` gives them.
     """
-    mapping, composition = _tables(values.sparkSession)
+    mapping = _tables(values.sparkSession)
     ids = [key, "field_name", "value"]
     numeric = F.col("field_name").isin(*numeric_fields)
     words = F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}\p{Cf}᠎]+|[^\p{L}\p{M}\p{Cf}᠎]+"), F.lit(0))
@@ -158,16 +173,9 @@ def canonical_text(values: DataFrame, key: str, numeric_fields: tuple[str, ...]
     # so that a value of invisible characters only keeps its row
     before = Window.partitionBy(*ids).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     started = points.withColumn("start", F.last(F.when((F.col("ccc") == 0) & (F.col("out") != ""), F.col("pos")), ignorenulls=True).over(before))
-    sequences = started.groupBy(*ids, "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ccc", "pos", "out"))), lambda x: x["out"]), "").alias("seq"))
-    # a sequence either composes whole or by its first mark, with the other marks kept behind it
-    whole, first = composition, composition.toDF("head", "head_composed")
-    composed = (
-        sequences.join(F.broadcast(whole), "seq", "left")
-        .withColumn("head", F.substring("seq", 1, 2))
-        .join(F.broadcast(first), "head", "left")
-        .withColumn("text", F.coalesce("composed", F.when(F.length("seq") > 2, F.concat("head_composed", F.substring("seq", 3, 1 << 20))), "seq"))
-    )
-    rebuilt = composed.groupBy(*ids).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"))
+    sequences = started.groupBy(*ids, "start").agg(F.filter(F.sort_array(F.collect_list(F.struct("ccc", "pos", "out"))), lambda x: x["out"] != "").alias("parts"))
+    texts = sequences.select(*ids, "start", composed(F.col("parts")).alias("text"))
+    rebuilt = texts.groupBy(*ids).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"))
     canonical = rebuilt.withColumn("canonical", F.trim(F.regexp_replace("text", " +", " ")))
     tidy = F.when(F.col("field_name") == "amount", F.regexp_replace("canonical", " ", "")).otherwise(F.col("canonical"))
     canonical = canonical.withColumn("canonical", tidy)

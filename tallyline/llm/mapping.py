@@ -9,16 +9,17 @@ Resolution of one value, in this order:
 
 1. all embedded mentions are found in one pass of the automaton, and the longest non-overlapping ones win;
 2. if they name exactly one entry and leave nothing but known decorations over, that entry is the answer;
-3. otherwise the undecorated text is compared with every name by token-set similarity (characters for ideographic
-   text, words for Latin text, a token also matching one edit away) and the single best entry above the threshold wins;
+3. otherwise the undecorated text is compared by token-set similarity with the names that share a token with it, found
+   by an index of tokens (characters for ideographic text, characters with their place for brands of banks, words for
+   Latin text, a word also matching one edit away), and the single best entry above the threshold wins;
 4. failing that, a single embedded mention decides whatever else stands around it.
 
 Everything else (no mention, several entries, a tie, a brand without its kind where the brand has several) is ``NONE``.
 
 Defined results: NULL and ``''`` are absent and give no row; a value equal to a canonical name is canonical and gives
-no row either; white space alone is a value and gives ``NONE``; texts longer than ``LONG`` characters are still searched
-whole by the automaton, but not compared by similarity, which could never reach the threshold; repeated rows of one key
-give one row; an empty reference list maps every value to ``NONE``; extra columns are ignored.
+no row either; white space alone is a value and gives ``NONE``; texts of any length are searched whole by the automaton,
+and compared by similarity unless they have so many tokens that no name could reach the threshold; repeated rows of one
+key give one row; an empty reference list maps every value to ``NONE``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ from pyspark.sql import functions as F
 
 MAX_REFERENCE_ROWS = 50_000
 NONE = "NONE"
-LONG = 200
 
 #: Written and spoken abbreviations of the kinds of bank.
 KIND_ABBREVIATIONS = {
@@ -94,6 +94,11 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
+def _with_one_left_out(word: str) -> set[str]:
+    """A word and its forms with one character missing: words one edit apart share one of them."""
+    return {word} | {word[:k] + word[k + 1 :] for k in range(len(word)) if len(word) >= 3}
+
+
 @dataclass
 class CanonicalMatcher:
     """Resolves typed values against one reference list; see the module docstring for the rules."""
@@ -118,6 +123,13 @@ class CanonicalMatcher:
         if self.kinds:
             self._derive_kinds()
         self._tokens = [(ref, key, Counter(self._tokens_of(key))) for ref, key in self._similar]
+        # shared / union reaches the threshold only if the text has at most this many tokens
+        self._most_tokens = max((sum(own.values()) for *_, own in self._tokens), default=0) / self.threshold
+        self._by_token: dict[str, set[int]] = defaultdict(set)
+        for k, (_, key, own) in enumerate(self._tokens):
+            for token in own:
+                for form in (token,) if _ideographic(key) else _with_one_left_out(token):
+                    self._by_token[form].add(k)
         self._automaton = ahocorasick.Automaton()
         for key, refs in self._patterns.items():
             self._automaton.add_word(key, (len(key), tuple(sorted(refs))))
@@ -190,11 +202,12 @@ class CanonicalMatcher:
     def _most_similar(self, key: str) -> str | None:
         if self.kinds and _ideographic(key):
             return self._most_similar_brand(key)
-        if len(key) > LONG:
-            return None
         tokens = Counter(self._tokens_of(key))
         total, scored = sum(tokens.values()), []
-        for ref, name, own in self._tokens:
+        if total > self._most_tokens:
+            return None
+        forms = tokens if _ideographic(key) else {f for t in tokens for f in _with_one_left_out(t)}
+        for ref, name, own in (self._tokens[k] for k in sorted(set().union(*(self._by_token.get(f, ()) for f in forms)))):
             shared = sum((tokens & own).values())
             if not _ideographic(key):
                 if _ideographic(name):
@@ -214,13 +227,14 @@ class CanonicalMatcher:
         return refs.pop() if len(refs) == 1 else NONE
 
     def _most_similar_brand(self, key: str) -> str | None:
-        """Token sets of brand characters and a kind: the kind must be the same, and at least half the brand's characters in place."""
+        """Token sets whose tokens are the brand's characters with their places: the kind must be the same, and a third of
+        the tokens of both shared, that is half the brand's."""
         best: dict[int, set[str]] = defaultdict(set)
         for ref, (brand, kind) in self._kind_of.items():
             for spelling in (kind, *KIND_ABBREVIATIONS[kind]):
                 for at in (i.start() for i in re.finditer(spelling, key)):
                     typed = key[max(0, at - len(brand)) : at]
-                    same = sum(a == b for a, b in zip(typed, brand, strict=False)) if len(typed) == len(brand) else 0
+                    same = len(set(enumerate(typed)) & set(enumerate(brand))) if len(typed) == len(brand) else 0
                     if same and 2 * same >= len(brand) and not any(key[:at].endswith(k[: -len(spelling)]) for k in KIND_ABBREVIATIONS if k.endswith(spelling) and k != spelling):
                         best[100 * same + len(spelling)].add(ref)
         if not best:
@@ -273,7 +287,7 @@ def bank_matcher(bank_ref: DataFrame) -> CanonicalMatcher:
 
 def type_matcher(type_ref: DataFrame) -> CanonicalMatcher:
     names = type_ref.select("ref_id", "type_name")
-    by_name = {r[1]: r[0] for r in names.limit(MAX_REFERENCE_ROWS).collect() if r[1]}
+    by_name = {r[1]: r[0] for r in names.where(F.col("type_name").isin(list(ROMANISED_TYPES))).distinct().collect()}
     romanised = [(by_name[name], spelling) for name, spelling in ROMANISED_TYPES.items() if name in by_name]
     return reference_matcher(names, type_ref.select("ref_id", F.explode("keywords")), decorations=TYPE_DECORATIONS, more_aliases=romanised)
 

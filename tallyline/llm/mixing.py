@@ -12,8 +12,8 @@ third of all rows, is sorted or gathered as a whole.
 Shards: a binary tree over the output shards splits every source's number of blocks (each use of a block by itself) by
 multivariate hypergeometric draws, node by node, so that the counts are exact at every level and each shard is a uniform
 sample of the mixture without replacement. The tree runs on counts, sources times shards, whose size the parameters fix.
-A shard then takes its number of blocks from each source's permuted block order, disjointly, and orders its documents by
-a seeded hash, which is the local shuffle.
+A shard then takes its number of blocks from each source's permuted block order, disjointly, and its documents are
+brought together and shuffled locally, by a seeded hash of each use.
 
 Defined results: NULL and empty texts have no tokens and are used as often as the passes say; a document of an unknown
 source, or of a source with a NULL or zero share, isn't used; a target source without documents gets nothing and the
@@ -24,10 +24,12 @@ documents are documents of their own if their ids differ; an empty table gives n
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,25 +37,29 @@ from pyspark.sql.window import Window
 from tallyline.session import cut_lineage
 
 BLOCKS = 256
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1_000
+#: A plan of more rows is joined like any table instead of being sent to every task.
+BROADCAST_ROWS = 100_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the public byte-level tokenizers cut text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer stretches go to the tokenizer in pieces of this many characters: merging is quadratic in unbroken runs.
-PIECE = 20_000
 
 
 def token_counts(docs: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` without ``text`` but with its ``tokens``."""
 
+    # executors that lack the file get it from the driver
+    if os.path.exists(tokenizer):
+        docs.sparkSession.sparkContext.addFile(tokenizer)
+
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
+        with open(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(os.path.basename(tokenizer)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
-            yield pd.Series([sum(len(coder.encode_ordinary(t[k : k + PIECE])) for k in range(0, len(t), PIECE)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([len(coder.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return docs.withColumn("tokens", F.pandas_udf(counted, "bigint")(F.col(text))).drop(text)
 
@@ -102,31 +108,29 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
     rng = np.random.default_rng(seed)
     names = sorted(quotas)
     orders = {s: [int(b) for b in rng.permutation(sorted(per_source[s]))] for s in names}
-    uses: list[tuple[str, int, int, int | None]] = []  # source, copy, block, tokens wanted (None: all)
+    uses: dict[str, list[tuple[str, int, int, int | None]]] = {}  # source, copy, block, tokens wanted (None: all)
     for s in names:
         passes, rest = quotas[s]
-        uses += [(s, c, b, None) for c in range(passes) for b in orders[s]]
+        uses[s] = [(s, c, b, None) for c in range(passes) for b in orders[s]]
         for b in orders[s]:
             if rest <= 0:
                 break
-            whole = per_source[s][b] <= rest
-            uses.append((s, passes, b, None if whole else rest))
+            uses[s].append((s, passes, b, None if per_source[s][b] <= rest else rest))
             rest -= per_source[s][b]
-    counts = np.array([sum(u[0] == s for u in uses) for s in names], dtype=np.int64)
+    counts = np.array([len(uses[s]) for s in names], dtype=np.int64)
     dealt = split_tree(counts, shards, rng) if names else np.zeros((shards, 0), int)
     plan = []
     for k, s in enumerate(names):
-        mine = [u for u in uses if u[0] == s]
         shard_of = np.repeat(np.arange(shards), dealt[:, k])
-        plan += [(*mine[i], int(shard)) for i, shard in zip(rng.permutation(len(mine)), shard_of, strict=True)]
+        plan += [(*uses[s][i], int(shard)) for i, shard in zip(rng.permutation(len(uses[s])), shard_of, strict=True)]
     plan_df = spark.createDataFrame(plan, "source string, copy int, block int, wanted bigint, shard int")
-    # the plan has at most sources * BLOCKS * max_repeat rows
-    used = sized.join(F.broadcast(plan_df), ["source", "block"])
+    used = sized.join(F.broadcast(plan_df) if len(plan) <= BROADCAST_ROWS else plan_df, ["source", "block"])
     before = F.sum("tokens").over(Window.partitionBy("source", "block", "copy").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1))
     # only boundary blocks are cut, so only they are ordered
     whole = used.where(F.col("wanted").isNull())
     cut = used.where(F.col("wanted").isNotNull()).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("tokens") / 2 <= F.col("wanted")).drop("before")
-    return whole.unionByName(cut).select(F.col("id").alias(key), "source", "tokens", "copy", "shard", F.xxhash64("id", "copy", F.lit(seed + 2)).alias("place"))
+    mixed = whole.unionByName(cut).select(F.col("id").alias(key), "source", "tokens", "copy", "shard", F.xxhash64("id", "copy", F.lit(seed + 2)).alias("place"))
+    return mixed.repartition(shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

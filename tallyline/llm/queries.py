@@ -72,8 +72,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks whose passages may stand in any order, with their coverage."""
+    return leakage.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), ordered=False)
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+    tokenizer = spark.conf.get("tallyline.tokenizer", mixing.TOKENIZER)
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"), tokenizer=tokenizer)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p8_found": p8_found,
+    "p8_reordered": p8_reordered,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
