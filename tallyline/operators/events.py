@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyline.functions import text as T
+from tallyline.session import cut_lineage
 
 EVENT_KEY = ["part", "d", "dir", "amt"]
 LEAST_POINTS = 4
@@ -113,14 +114,42 @@ def canonical_events(ledger: DataFrame) -> DataFrame:
     shared = rows.select(*needed).join(several, EVENT_KEY, "left_semi")
     grouped = shared.groupBy(*EVENT_KEY).applyInPandas(group_events, "tx_id string, representative string")
     own = ledger.select("tx_id", "dup_of").join(grouped, "tx_id", "left").withColumn("representative", F.coalesce("representative", "tx_id"))
-    declared = own.select(F.col("tx_id").alias("dup_of"), F.col("representative").alias("declared"))
-    return own.join(declared, "dup_of", "left").select("tx_id", F.coalesce("declared", "representative").alias("representative"))
+    return followed(own)
+
+
+def followed(own: DataFrame) -> DataFrame:
+    """Declared duplicates followed to the row at the end of their chain, by doubling; a circle of declarations ends at its
+    least row."""
+    links = cut_lineage(own.select("tx_id", F.when(F.col("dup_of") != "", F.col("dup_of")).alias("next"), "representative"))
+    named = links.where(F.col("next").isNotNull()).select("tx_id", "next").join(links.select(F.col("tx_id").alias("next")), "next", "left_semi").select("tx_id", "next")
+    ends = cut_lineage(named.select("tx_id", "next", F.least("tx_id", "next").alias("least"), F.lit(True).alias("on")))
+    # after as many doublings as its number has digits, every chain has ended, and whatever goes on is in a circle or leads to one
+    for _ in range(ends.count().bit_length()):
+        ahead = ends.select(F.col("tx_id").alias("next"), F.col("next").alias("after"), F.col("least").alias("least_after"))
+        moved = ends.join(ahead, "next", "left")
+        ends = cut_lineage(moved.select("tx_id", F.coalesce("after", "next").alias("next"), F.least("least", F.coalesce("least_after", "least")).alias("least"), F.col("after").isNotNull().alias("on")))
+        if ends.where("on").isEmpty():
+            break
+    ends = ends.withColumn("next", F.when(F.col("on"), F.col("least")).otherwise(F.col("next")))
+    target = links.select(F.col("tx_id").alias("next"), F.col("representative").alias("declared"))
+    found = ends.select("tx_id", "next").join(target, "next").select("tx_id", "declared")
+    return links.join(found, "tx_id", "left").select("tx_id", F.coalesce("declared", "representative").alias("representative"))
 
 
 def owned_accounts(accounts: DataFrame, owner: str = "DEBTOR_MAIN") -> DataFrame:
     return accounts.where(F.col("owner_type") == owner).select(T.identity_part("account_number").alias("part"), "case_number").where(F.col("part") != "").distinct()
 
 
+def with_internal(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rows of an owned account whose counterparty account is another owned one are ``internal``."""
+    owned = owned_accounts(accounts).select("part").distinct()
+    rows = ledger.withColumn("_own", T.identity_part("acct")).withColumn("_other", T.identity_part("cp_acct"))
+    mark = lambda df, c: df.join(owned.select(F.col("part").alias(c), F.lit(True).alias(f"{c}_owned")), c, "left")
+    both = mark(mark(rows, "_own"), "_other")
+    internal = F.coalesce(F.col("_own_owned") & F.col("_other_owned") & (F.col("_own") != F.col("_other")), F.lit(False))
+    return both.withColumn("internal", internal).drop("_own", "_other", "_own_owned", "_other_owned")
+
+
 def transfer_rows(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rows of owned accounts that can be one side of a transfer."""
     rows = ledger.where(F.col("dir").isin("IN", "OUT") & F.col("d").isNotNull() & F.col("amt").isNotNull())
@@ -189,3 +218,24 @@ def fast_in_out_candidates(ledger: DataFrame, least: int = 30000, days: int = 2,
     close = F.abs(F.col("a.amt") - F.col("b.amt")) <= F.col("a.amt") * F.lit(share).cast("decimal(4,2)")
     later = F.struct("b.page", "b.rowno", "b.tx_id") > F.struct("a.page", "a.rowno", "a.tx_id")
     return pairs.where(close & later).select(F.col("a.tx_id").alias("in_id"), F.col("b.tx_id").alias("out_id"), F.datediff("b.d", "a.d").alias("days"))
+
+
+def first_later(pdf: pd.DataFrame) -> pd.DataFrame:
+    """In the order of incoming rows, each takes its first outgoing candidate that no earlier one took."""
+    taken: set[str] = set()
+    out = []
+    for in_id, own in pdf.sort_values(["in_at", "out_at"]).groupby("in_id", sort=False):
+        free = next(((o, d) for o, d in zip(own["out_id"], own["days"], strict=True) if o not in taken), None)
+        if free:
+            taken.add(free[0])
+            out.append((in_id, *free))
+    return pd.DataFrame(out, columns=["in_id", "out_id", "days"])
+
+
+def fast_in_out(ledger: DataFrame, **limits) -> DataFrame:
+    """JON03: the one-to-one choice among the candidates, account by account; only rows with a candidate reach the kernel."""
+    at = F.to_json(F.struct(F.lpad(F.col("page").cast("string"), 10, "0").alias("p"), F.lpad(F.col("rowno").cast("string"), 10, "0").alias("r"), "tx_id"))
+    place = ledger.select("tx_id", "doc", "acct", at.alias("at"))
+    met = fast_in_out_candidates(ledger, **limits)
+    met = met.join(place.withColumnsRenamed({"tx_id": "in_id", "at": "in_at"}), "in_id").join(place.select(F.col("tx_id").alias("out_id"), F.col("at").alias("out_at")), "out_id")
+    return met.groupBy("doc", "acct").applyInPandas(first_later, "in_id string, out_id string, days int")

@@ -90,15 +90,24 @@ def phase_tag(day: str = "d") -> Column:
 
 
 def case_totals(rows: DataFrame) -> DataFrame:
-    """AGG01: one pass over rows with their case's milestones; internal transfers, if marked, don't count as external."""
-    incoming, outgoing = F.col("dir") == "IN", F.col("dir") == "OUT"
+    """AGG01: one pass over rows with their case's milestones. Rows marked ``internal`` count in the raw totals, but are no
+    external inflow or outflow; coverage is the income since filing over the target, 1 where that is 0 or absent."""
+    incoming, outgoing, external = F.col("dir") == "IN", F.col("dir") == "OUT", ~F.col("internal")
     since = lambda c: F.col("d") >= F.col(c)
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("amt"))), F.lit(0)).cast("decimal(28,2)")
-    return rows.groupBy("case_number").agg(
+    out = rows.groupBy("case_number").agg(
         F.count("*").alias("n_rows"), total(incoming).alias("total_in"), total(outgoing).alias("total_out"),
-        total(outgoing & since("execution_filing_date")).alias("out_since_filing"), total(outgoing & since("report_order_served_date")).alias("out_since_order"),
-        total(incoming & since("execution_filing_date")).alias("in_since_filing"), F.max("target_amount").alias("target_amount"),
+        total(incoming & external).alias("external_in"), total(outgoing & external).alias("external_out"),
+        total(outgoing & external & since("execution_filing_date")).alias("out_since_filing"), total(outgoing & external & since("report_order_served_date")).alias("out_since_order"),
+        total(incoming & external & since("execution_filing_date")).alias("in_since_filing"), F.max("target_amount").alias("target_amount"),
     )
+    target = F.coalesce(F.nullif(F.col("target_amount"), F.lit(0).cast("decimal(18,2)")), F.lit(1).cast("decimal(18,2)"))
+    return out.withColumn("coverage", F.round(F.col("in_since_filing").cast("double") / target.cast("double"), 6))
+
+
+def named_parties(rows: DataFrame) -> DataFrame:
+    """Rows with the identity key and effective name of their counterparty."""
+    return rows.withColumn("cp_key", T.counterparty_key("cp_acct", "cp_name", "cp_bank", "doc", "tx_id")).withColumn("name", effective_name())
 
 
 def counterparty_summary(rows: DataFrame) -> DataFrame:

@@ -25,18 +25,27 @@ def first_accounts(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     return ledger.withColumn("part", T.identity_part("acct")).join(first, ["doc", "part"], "left").select("tx_id", F.coalesce("account_number", F.lit("")).alias("account_number"))
 
 
-def edges(ledger: DataFrame) -> DataFrame:
-    """GRA04: ``(src, dst, kind)``: row to account, row to counterparty, row to flow class, row to judicial deduction, row
-    to the row it repeats. Four projections of one scan, united."""
+def edges(ledger: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """GRA04: ``(src, dst, kind)``: row to account, row to counterparty, row to flow class, account to judicial deduction and
+    deduction to authority, row to the row it repeats, from one scan; and, once a pair, internal transfers, whose rows
+    have no counterparty."""
     account = T.master_account_key("acct", "doc", "bank", "file")
     party = T.counterparty_key("cp_acct", "cp_name", "cp_bank", "doc", "tx_id")
-    rows = ledger.withColumn("account", account).withColumn("party", party).withColumn("flow", flows.flow_class()).withColumn("judicial", flows.is_judicial())
-    edge = lambda test, dst, kind: F.when(test, F.struct(F.col("tx_id").alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")))
+    rows = ledger.withColumn("internal", F.lit(False))
+    if pairs is not None:
+        sides = pairs.select(F.col("out_id").alias("tx_id")).unionByName(pairs.select(F.col("in_id").alias("tx_id"))).distinct().withColumn("_side", F.lit(True))
+        rows = ledger.join(sides, "tx_id", "left").withColumn("internal", F.col("_side").isNotNull()).drop("_side")
+    rows = rows.withColumn("account", account).withColumn("party", party).withColumn("flow", F.when(~F.col("internal"), flows.flow_class())).withColumn("judicial", flows.is_judicial())
+    edge = lambda test, src, dst, kind: F.when(test, F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")))
+    row, deduction = F.col("tx_id"), F.concat(F.lit("judicial:"), "tx_id")
     made = F.array(
-        edge(F.lit(True), F.col("account"), "OF_ACCOUNT"), edge(F.lit(True), F.col("party"), "WITH_PARTY"), edge(F.col("flow").isNotNull(), F.col("flow"), "IN_CLASS"),
-        edge(F.col("judicial"), F.concat(F.lit("judicial:"), "tx_id"), "DEDUCTION"), edge(F.col("dup_of") != "", F.col("dup_of"), "REPEATS"),
+        edge(F.lit(True), row, F.col("account"), "OF_ACCOUNT"), edge(~F.col("internal"), row, F.col("party"), "WITH_PARTY"), edge(F.col("flow").isNotNull(), row, F.col("flow"), "IN_CLASS"),
+        edge(F.col("judicial"), F.col("account"), deduction, "DEDUCTION"), edge(F.col("judicial"), deduction, F.col("party"), "TO_AUTHORITY"), edge(F.col("dup_of") != "", row, F.col("dup_of"), "REPEATS"),
     )
-    return rows.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    out = rows.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    if pairs is None:
+        return out
+    return out.unionByName(pairs.select(F.least("out_id", "in_id").alias("src"), F.greatest("out_id", "in_id").alias("dst"), F.lit("INTERNAL_PAIR").alias("kind")))
 
 
 def zero_row_accounts(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -64,13 +73,6 @@ def page_issues(ledger: DataFrame) -> DataFrame:
     return ledger.select("doc", "page", "tx_id", F.explode(reasons).alias("reason")).groupBy("doc", "page", "reason").agg(F.count("*").alias("n_rows"), F.min("tx_id").alias("first_row"))
 
 
-def review_labels(ledger: DataFrame) -> DataFrame:
-    """REV06: the label of each statement by the state of its rows."""
-    done = F.col("status").isin("VERIFIED", "CORRECTED")
-    label = F.when(F.bool_and(done), "REVIEWED").when(F.bool_or(F.col("status") == "PENDING"), "OPEN").when(F.bool_or(done), "STARTED").otherwise("AUTOMATIC")
-    return ledger.groupBy("doc", "acct").agg(F.count("*").alias("n_rows"), F.sum(done.cast("int")).alias("n_done"), label.alias("label"))
-
-
 def search(ledger: DataFrame, word: str, status: str | None = None) -> DataFrame:
     """PRJ06: rows that contain a word in any of six fields, whatever its case."""
     fields = ("cp_name", "cp_acct", "summary", "type", "raw_text", "tm")

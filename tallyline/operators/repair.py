@@ -14,6 +14,9 @@ from tallyline.operators.sequence import STATEMENT, in_order, signed
 DIRECTION_TOLERANCE = 0.05
 INTEREST = r"结息|利息结算|计息"
 CREDIT_CARD = r"透支|年费|自动转[账帐]还款|分期付款|消费转分期|分期利息|分期费用"
+#: What names a credit card, and the types of its rows.
+CARD_NAMES = r"信用卡|贷记卡|牡丹卡"
+CREDIT_TYPES = ("透支利息", "分期", "分期转换", "分期退款", "违约金")
 FEE_WAIVER = r"减免|免收|豁免|优惠|抵扣"
 INCOME_WORDS, EXPENSE_WORDS = r"收入|转入|存入|工资|结息|退款|入账", r"支出|转出|取|消费|缴费|手续费|还款|扣"
 
@@ -115,10 +118,13 @@ def one_digit_aliases(accounts: DataFrame, number: str = "account_number") -> Da
 
 
 def credit_statements(ledger: DataFrame) -> DataFrame:
-    """CLS04: statements of credit cards: half the balances negative, and at least two rows (or all) in the words of one."""
-    words = F.concat_ws(" ", "type", "summary", "raw_text").rlike(CREDIT_CARD)
-    votes = ledger.groupBy(*STATEMENT).agg(F.count("*").alias("n"), F.count("bal").alias("n_bal"), F.sum((F.col("bal") < 0).cast("int")).alias("negative"), F.sum(words.cast("int")).alias("worded"))
-    return votes.where((F.col("n_bal") > 0) & (F.col("negative") * 2 >= F.col("n_bal")) & (F.col("worded") >= F.least(F.lit(2), F.col("n")))).select(*STATEMENT, "n", "worded")
+    """CLS04: statements of credit cards: any row names a credit card, or half the balances are negative and at least two
+    rows (or all) are of its types or in its words."""
+    named = F.concat_ws(" ", "bank", "summary", "cp_name", "raw_text").rlike(CARD_NAMES)
+    worded = F.col("type").isin(*CREDIT_TYPES) | F.concat_ws(" ", "summary", "cp_name", "raw_text").rlike(CREDIT_CARD)
+    votes = ledger.groupBy(*STATEMENT).agg(F.count("*").alias("n"), F.count("bal").alias("n_bal"), F.sum((F.col("bal") < 0).cast("int")).alias("negative"), F.sum(worded.cast("int")).alias("worded"), F.bool_or(named).alias("named"))
+    by_balance = (F.col("n_bal") > 0) & (F.col("negative") * 2 >= F.col("n_bal")) & (F.col("worded") >= F.least(F.lit(2), F.col("n")))
+    return votes.where(F.col("named") | by_balance).select(*STATEMENT, "n", "worded", "named")
 
 
 def fee_waivers() -> Column:

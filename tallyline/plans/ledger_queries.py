@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import text as T
-from tallyline.operators import alignment, events, flows, graph, sequence
+from tallyline.operators import alignment, events, flows, graph, review, sequence, views
 from tallyline.operators import ledger as L
 from tallyline.plans.core import CELLS, ROW_KEY, table
 from tallyline.sources import readers
@@ -79,7 +79,7 @@ def _cased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- projections, classes and keys -------------------------------------------------------------------------------
 
-_add("ER12_latest_versions", lambda s, d: _led(s, d).select("tx_id", "doc", "d", "dir", "amt", "bal", "page", "rowno"), _sql("SELECT tx_id, doc, d, dir, amt, bal, page, rowno FROM led"))
+_add("LED01_typed_rows", lambda s, d: _led(s, d).select("tx_id", "doc", "d", "dir", "amt", "bal", "page", "rowno"), _sql("SELECT tx_id, doc, d, dir, amt, bal, page, rowno FROM led"))
 _add(
     "STR01_account_keys",
     lambda s, d: _led(s, d).select("tx_id", T.identity_part("acct").alias("part"), T.is_reliable("acct").alias("reliable"), T.master_account_key("acct", "doc", "bank", "file").alias("master")),
@@ -246,11 +246,19 @@ def _since(side: str, c: str, name: str) -> str:
     return f"CAST(coalesce(sum(CASE WHEN dir = '{side}' AND d >= {c} THEN amt END), 0) AS DECIMAL(28,2)) AS {name}"
 
 
-_add(
-    "AGG01_case_totals",
-    lambda s, d: flows.case_totals(_cased(s, d)),
-    _sql(f"SELECT case_number, count(*) AS n_rows, {_IN} AS total_in, {_OUT} AS total_out, {_since('OUT', 'execution_filing_date', 'out_since_filing')}, {_since('OUT', 'report_order_served_date', 'out_since_order')}, {_since('IN', 'execution_filing_date', 'in_since_filing')}, max(target_amount) AS target_amount FROM cased GROUP BY 1", _CASED),
-)
+_OWNED = f"""owned AS (SELECT DISTINCT {_ident('account_number')} AS part FROM accounts WHERE owner_type = 'DEBTOR_MAIN' AND {_ident('account_number')} <> '')"""
+_INTERNAL = f"({_ident('cp_acct')} <> '' AND {_ident('cp_acct')} <> {_ident('acct')} AND {_ident('cp_acct')} IN (SELECT part FROM owned) AND {_ident('acct')} IN (SELECT part FROM owned))"
+
+
+def _external(side: str, name: str, since: str = "") -> str:
+    later = f" AND d >= {since}" if since else ""
+    return f"CAST(coalesce(sum(CASE WHEN dir = '{side}' AND NOT internal{later} THEN amt END), 0) AS DECIMAL(28,2)) AS {name}"
+
+
+_TOTALS = f"""SELECT case_number, count(*) AS n_rows, {_IN} AS total_in, {_OUT} AS total_out, {_external('IN', 'external_in')}, {_external('OUT', 'external_out')}, {_external('OUT', 'out_since_filing', 'execution_filing_date')},
+  {_external('OUT', 'out_since_order', 'report_order_served_date')}, {_external('IN', 'in_since_filing', 'execution_filing_date')}, max(target_amount) AS target_amount,
+  round(CAST(coalesce(sum(CASE WHEN dir = 'IN' AND NOT internal AND d >= execution_filing_date THEN amt END), 0) AS DOUBLE) / CAST(coalesce(nullif(max(target_amount), 0), 1) AS DOUBLE), 6) AS coverage"""
+_add("AGG01_case_totals", lambda s, d: flows.case_totals(events.with_internal(_cased(s, d), _acc(s, d))), _sql(f"{_TOTALS} FROM (SELECT *, {_INTERNAL} AS internal FROM cased) GROUP BY 1", _CASED, _OWNED))
 _SUMMARY = f"""summ AS (SELECT {_PARTY_KEY} AS cp_key, arg_min({_NAME}, (doc, page, rowno, tx_id)) AS cp_name, {_IN} AS total_in, {_OUT} AS total_out, count(*) AS n_rows, min(d) AS first_date, max(d) AS last_date, CAST({_OUT} - {_IN} AS DECIMAL(29,2)) AS net_out FROM led GROUP BY 1)"""
 _add("AGG02_counterparty_summary", lambda s, d: flows.counterparty_summary(_led(s, d)), _sql("SELECT * FROM summ", _SUMMARY))
 _add("TOP01_by_net_out", lambda s, d: flows.top_counterparties(flows.counterparty_summary(_led(s, d)), "net_out", 15), _sql("SELECT * FROM summ ORDER BY net_out DESC, cp_key LIMIT 15", _SUMMARY))
@@ -282,7 +290,7 @@ _add(
 _ISSUES = """SELECT doc, page, reason, count(*) AS n_rows, min(tx_id) AS first_row FROM (
   SELECT doc, page, tx_id, 'LOW_CONFIDENCE' AS reason FROM led WHERE conf < 0.8 UNION ALL SELECT doc, page, tx_id, 'INVALID_AMOUNT' FROM led WHERE amt IS NULL OR amt < 0
   UNION ALL SELECT doc, page, tx_id, 'INVALID_DATE' FROM led WHERE d IS NULL UNION ALL SELECT doc, page, tx_id, 'INVALID_DIRECTION' FROM led WHERE dir NOT IN ('IN','OUT')) GROUP BY 1, 2, 3"""
-_add("AGG14_review_groups", lambda s, d: graph.page_issues(_led(s, d)), _sql(_ISSUES))
+_add("REV02_page_issues", lambda s, d: graph.page_issues(_led(s, d)), _sql(_ISSUES))
 _add("AGG15_missing_pages", lambda s, d: sequence.missing_pages(_led(s, d)), _sql("SELECT doc, page::INT AS page FROM (SELECT doc, unnest(generate_series(min(page), max(page))) AS page FROM led WHERE page > 0 GROUP BY doc) EXCEPT SELECT doc, page FROM led"))
 _add(
     "AGG16_duplicate_groups",
@@ -357,19 +365,11 @@ _add(
     f"""SELECT CASE WHEN {_reliable('account_number')} THEN 'account|' || {_ident('account_number')} ELSE 'unverified|unverified|' || {_ident("coalesce(bank_name,'')")} || '|' || {_ident('account_number')} || '|' || coalesce(file_name,'') END AS node,
       coalesce(min(nullif(account_name,'')),'') AS holder, coalesce(min(nullif(bank_name,'')),'') AS bank, count(*) AS n_sources FROM accounts GROUP BY 1""",
 )
-_add(
-    "GRA04_edges",
-    lambda s, d: graph.edges(_led(s, d)),
-    _sql(f"""SELECT tx_id AS src, CASE WHEN {_reliable('acct')} THEN 'account|' || {_ident('acct')} ELSE 'unverified|unverified|' || {_ident('bank')} || '|' || {_ident('acct')} || '|' || file END AS dst, 'OF_ACCOUNT' AS kind FROM led
-      UNION ALL SELECT tx_id, {_PARTY_KEY}, 'WITH_PARTY' FROM led UNION ALL SELECT tx_id, flow, 'IN_CLASS' FROM (SELECT tx_id, {_FLOW} AS flow FROM led) WHERE flow IS NOT NULL
-      UNION ALL SELECT tx_id, 'judicial:' || tx_id, 'DEDUCTION' FROM led WHERE {_JUD} UNION ALL SELECT tx_id, dup_of, 'REPEATS' FROM led WHERE dup_of <> ''"""),
-)
-_add(
-    "REV06_review_labels",
-    lambda s, d: graph.review_labels(_led(s, d)),
-    _sql("""SELECT doc, acct, count(*) AS n_rows, sum((status IN ('VERIFIED','CORRECTED'))::INT)::BIGINT AS n_done, CASE WHEN bool_and(status IN ('VERIFIED','CORRECTED')) THEN 'REVIEWED' WHEN bool_or(status = 'PENDING') THEN 'OPEN'
-      WHEN bool_or(status IN ('VERIFIED','CORRECTED')) THEN 'STARTED' ELSE 'AUTOMATIC' END AS label FROM led GROUP BY 1, 2"""),
-)
+_MASTER = f"CASE WHEN {_reliable('acct')} THEN 'account|' || {_ident('acct')} ELSE 'unverified|unverified|' || {_ident('bank')} || '|' || {_ident('acct')} || '|' || file END"
+_EDGES = f"""SELECT tx_id AS src, {_MASTER} AS dst, 'OF_ACCOUNT' AS kind FROM led
+  UNION ALL SELECT tx_id, {_PARTY_KEY}, 'WITH_PARTY' FROM led {{external}} UNION ALL SELECT tx_id, flow, 'IN_CLASS' FROM (SELECT tx_id, {_FLOW} AS flow FROM led {{external}}) WHERE flow IS NOT NULL
+  UNION ALL SELECT {_MASTER}, 'judicial:' || tx_id, 'DEDUCTION' FROM led WHERE {_JUD} UNION ALL SELECT 'judicial:' || tx_id, {_PARTY_KEY}, 'TO_AUTHORITY' FROM led WHERE {_JUD} UNION ALL SELECT tx_id, dup_of, 'REPEATS' FROM led WHERE dup_of <> ''"""
+_add("GRA04_edges", lambda s, d: graph.edges(_led(s, d)), _sql(_EDGES.replace("{external}", "")))
 _add("FPR01_fingerprints", lambda s, d: graph.fingerprints(_led(s, d)))
 _add("SRC07_html_tables", lambda s, d: readers.html_tables(table(s, d, "documents"), "doc_id", "text").withColumn("cells", F.array_join("cells", "|")))
 _add("SRC14_file_identities", lambda s, d: readers.documents(s, f"{d}/cases.parquet").select("doc", "length"))
@@ -385,3 +385,21 @@ _add("CLS01_orders", lambda s, d: _ord(s, d).select("tx_id", flows.flow_class().
 _add("AGG02_orders", lambda s, d: flows.counterparty_summary(_ord(s, d)), _orders_sql(ORACLE_SQL["AGG02_counterparty_summary"]))
 _add("ER01_orders", lambda s, d: events.canonical_events(_ord(s, d)))
 _add("NET01_orders", lambda s, d: events.internal_transfers(_ord(s, d), _cust(s, d)))
+_CAND = """cand AS (SELECT o.tx_id AS out_id, i.tx_id AS in_id, (CASE WHEN o.n_cp = i.part AND i.n_cp = o.part THEN 100 ELSE 80 END - abs(date_diff('day', i.d, o.d)))::INT AS score
+  FROM tr o JOIN tr i ON o.amt = i.amt AND o.dir = 'OUT' AND i.dir = 'IN' AND o.part <> i.part AND abs(date_diff('day', i.d, o.d)) <= 2
+  WHERE (o.n_cp = i.part OR i.n_cp = o.part) AND NOT ((o.n_cp <> '' AND o.n_cp <> i.part) OR (i.n_cp <> '' AND i.n_cp <> o.part))),
+pairs AS (SELECT out_id, in_id FROM (SELECT *, row_number() OVER (PARTITION BY out_id ORDER BY score DESC, in_id) AS rn FROM cand) WHERE rn = 1)"""
+_PAIRED_IDS = "(SELECT out_id FROM pairs UNION SELECT in_id FROM pairs)"
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return views.best_pairs(events.transfer_candidates(_ord(s, d), _cust(s, d))).select("out_id", "in_id")
+
+
+_add(
+    "GRA04_orders",
+    lambda s, d: graph.edges(_ord(s, d), _pairs(s, d)),
+    _orders_sql(_sql(_EDGES.replace("{external}", f"WHERE tx_id NOT IN {_PAIRED_IDS}") + " UNION ALL SELECT least(out_id, in_id), greatest(out_id, in_id), 'INTERNAL_PAIR' FROM pairs", _TR, _CAND)),
+)
+_add("PRJ03_external_rows", lambda s, d: review.external_rows(_ord(s, d), _pairs(s, d)).select("tx_id"), _orders_sql(_sql(f"SELECT tx_id FROM led WHERE tx_id NOT IN {_PAIRED_IDS}", _TR, _CAND)))
+_add("JON03_fast_pairs", lambda s, d: events.fast_in_out(_ord(s, d), least=1000, share=0.5))

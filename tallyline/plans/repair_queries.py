@@ -83,7 +83,9 @@ _add(
 _add(
     "CLS04_credit_statements",
     lambda s, d: repair.credit_statements(_led(s, d)),
-    _sql(f"""SELECT doc, acct, n, worded FROM (SELECT doc, acct, count(*) AS n, count(bal) AS nb, count(*) FILTER (bal < 0) AS neg, count(*) FILTER (regexp_matches(type || ' ' || summary || ' ' || raw_text, '{repair.CREDIT_CARD}')) AS worded FROM led GROUP BY 1, 2) WHERE nb > 0 AND neg * 2 >= nb AND worded >= least(2, n)"""),
+    _sql(f"""SELECT doc, acct, n, worded, named FROM (SELECT doc, acct, count(*) AS n, count(bal) AS nb, count(*) FILTER (bal < 0) AS neg,
+      count(*) FILTER (type IN {repair.CREDIT_TYPES!r} OR regexp_matches(summary || ' ' || cp_name || ' ' || raw_text, '{repair.CREDIT_CARD}')) AS worded, bool_or(regexp_matches(bank || ' ' || summary || ' ' || cp_name || ' ' || raw_text, '{repair.CARD_NAMES}')) AS named
+      FROM led GROUP BY 1, 2) WHERE named OR nb > 0 AND neg * 2 >= nb AND worded >= least(2, n)"""),
 )
 _add("CLS05_fee_waivers", lambda s, d: _led(s, d).where(repair.fee_waivers()).select("tx_id"), _sql(f"SELECT tx_id FROM led WHERE regexp_matches({_W}, '{repair.FEE_WAIVER}')"))
 _add(
@@ -149,9 +151,4 @@ _add(
     lambda s, d: _led(s, d).select("tx_id", T.account_from_text(F.concat_ws(" ", "acct", "cp_acct")).alias("account")),
     _sql(r"SELECT tx_id, CASE WHEN len(r) = 1 THEN r[1] END AS account FROM (SELECT tx_id, list_filter(regexp_extract_all(acct || ' ' || cp_acct, '\d+'), lambda x: length(x) BETWEEN 8 AND 32) AS r FROM led)"),
 )
-_add(
-    "AGG19_page_rows",
-    lambda s, d: _led(s, d).groupBy("doc", "page").agg(F.count("*").alias("n_rows"), F.max("rowno").alias("last_row"), (F.max("rowno") - F.min("rowno") + 1 == F.count("*")).alias("gapless")),
-    _sql("SELECT doc, page, count(*) AS n_rows, max(rowno) AS last_row, max(rowno) - min(rowno) + 1 = count(*) AS gapless FROM led GROUP BY 1, 2"),
-)
 QUERIES["GRA07_written_back"] = lambda s, d: graph.written_back(orders_ledger(s, d), events.canonical_events(orders_ledger(s, d)))
