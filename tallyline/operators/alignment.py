@@ -71,39 +71,48 @@ def multiset_except(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.select(*keys).exceptAll(right.select(*keys))
 
 
-def _scores(a: pd.DataFrame, b: pd.DataFrame, fields: list[str]) -> np.ndarray:
-    same = sum((a[f].to_numpy()[:, None] == b[f].to_numpy()[None, :]) & (a[f].to_numpy()[:, None] != "") for f in fields)
-    return np.where(same * 2 >= len(fields), same, 0)
+#: What equal fields of two rows count, what differing ones cost, and what a row without a partner costs.
+FIELD_SCORES = {"account_number": 3, "transaction_date": 2, "direction": 1, "amount": 3, "balance": 3, "counterparty_account": 2}
+LEAST_EQUAL, LEAST_SCORE, GAP = 3, 4, -4
 
 
-def _forced(score: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that are in every best monotone alignment: the best through a pair equals the best overall and the best
-    without it doesn't."""
+def _scores(a: pd.DataFrame, b: pd.DataFrame, fields: list[str]) -> np.ndarray:
+    """The score of every pair of a page's rows, 0 for pairs that agree too little to be one."""
+    total, equal = np.zeros((len(a), len(b)), int), np.zeros((len(a), len(b)), int)
+    for f in (f for f in FIELD_SCORES if f in fields):
+        x, y = a[f].to_numpy()[:, None], b[f].to_numpy()[None, :]
+        there, same = (x != "") & (y != ""), x == y
+        total += np.where(there, np.where(same, FIELD_SCORES[f], -1), 0)
+        equal += there & same
+    return np.where((equal >= LEAST_EQUAL) & (total >= LEAST_SCORE), total, 0)
+
+
+def _best_ahead(score: np.ndarray, gap: int) -> np.ndarray:
+    """``[i, j]``: the best alignment of the first i and j rows. A row of the matrix is one vector operation: the best way to
+    reach each place from above, then the running best along it."""
     n, m = score.shape
-    ahead = np.zeros((n + 1, m + 1), int)
-    back = np.zeros((n + 1, m + 1), int)
+    slope = gap * np.arange(m + 1)
+    ahead = np.empty((n + 1, m + 1), int)
+    ahead[0] = slope
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            take = ahead[i - 1, j - 1] + score[i - 1, j - 1] if score[i - 1, j - 1] else 0
-            ahead[i, j] = max(ahead[i - 1, j], ahead[i, j - 1], take)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            take = back[i + 1, j + 1] + score[i, j] if score[i, j] else 0
-            back[i, j] = max(back[i + 1, j], back[i, j + 1], take)
+        reach = ahead[i - 1] + gap
+        reach[1:] = np.maximum(reach[1:], np.where(score[i - 1] > 0, ahead[i - 1, :-1] + score[i - 1], reach[1:]))
+        ahead[i] = np.maximum.accumulate(reach - slope) + slope
+    return ahead
+
+
+def _forced(score: np.ndarray, gap: int = 0) -> list[tuple[int, int]]:
+    """Pairs that are in every best monotone alignment: no best one leaves the row out or pairs it otherwise. One pass
+    forward and one back tell the best alignment through every place."""
+    n, m = score.shape
+    ahead, back = _best_ahead(score, gap), _best_ahead(score[::-1, ::-1], gap)[::-1, ::-1]
     best = ahead[n, m]
-    on_path = [(i, j) for i in range(n) for j in range(m) if score[i, j] and ahead[i, j] + score[i, j] + back[i + 1, j + 1] == best]
     out = []
-    for i, j in on_path:
-        # any best alignment without this pair passes by it: check the best with the pair forbidden
-        other = score.copy()
-        other[i, j] = 0
-        alt = np.zeros((n + 1, m + 1), int)
-        for a in range(1, n + 1):
-            for b in range(1, m + 1):
-                take = alt[a - 1, b - 1] + other[a - 1, b - 1] if other[a - 1, b - 1] else 0
-                alt[a, b] = max(alt[a - 1, b], alt[a, b - 1], take)
-        if alt[n, m] < best:
-            out.append((i, j))
+    for i in range(n):
+        alone = (ahead[i] + gap + back[i + 1]).max() == best
+        paired = np.nonzero((score[i] > 0) & (ahead[i, :-1] + score[i] + back[i + 1, 1:] == best))[0]
+        if not alone and len(paired) == 1:
+            out.append((i, int(paired[0])))
     return out
 
 
@@ -113,7 +122,7 @@ def aligned_pages(left: DataFrame, right: DataFrame, page: list[str], row: str,
 
     def align(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(row).reset_index(drop=True).fillna(""), b.sort_values(row).reset_index(drop=True).fillna("")
-        pairs = _forced(_scores(a, b, fields)) if len(a) and len(b) else []
+        pairs = _forced(_scores(a, b, fields), GAP) if len(a) and len(b) else []
         return pd.DataFrame([(*key, int(a[row][i]), int(b[row][j])) for i, j in pairs], columns=[*page, "left_row", "right_row"])
 
     types = dict(left.dtypes)

@@ -166,3 +166,33 @@ def confusions(left: DataFrame, right: DataFrame, keys: list[str], field: str, k
     once = lambda df, n: df.groupBy(*keys).agg(F.min(F.coalesce(F.col(field), F.lit(""))).alias(n))
     pairs = once(left, "expected").join(once(right, "actual"), keys).where(F.col("expected") != F.col("actual"))
     return pairs.groupBy("expected", "actual").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "expected", "actual").limit(k)
+
+
+def outlier_years(ledger: DataFrame, least: int = 5, spread: int = 3, beyond: int = 2) -> DataFrame:
+    """FIX03: days whose year lies more than two years outside those of all other rows of their statement, which span three
+    at most, with the year within that span that is nearest to their neighbours' days. Least, second least, greatest and
+    second greatest years tell every row the span of the others, so the statement is read once and nothing is gathered."""
+    part, order = Window.partitionBy(*STATEMENT), in_order()
+    year = F.year("d")
+    rows = ledger.where(F.col("d").isNotNull()).select(*STATEMENT, *("page", "rowno", "tx_id"), "d", year.alias("y"), F.lag("d").over(order).alias("before"), F.lead("d").over(order).alias("after"))
+    years = rows.groupBy(*STATEMENT, "y").agg(F.count("*").alias("k"))
+    rank = lambda o: F.row_number().over(part.orderBy(o))
+    ranked = years.withColumn("up", rank(F.col("y"))).withColumn("down", rank(F.desc("y")))
+    at = lambda c, k: F.max(F.when(F.col(c) == k, F.col("y")))
+    ends = ranked.groupBy(*STATEMENT).agg(at("up", 1).alias("y1"), at("up", 2).alias("y2"), at("down", 1).alias("z1"), at("down", 2).alias("z2"), F.max(F.when(F.col("up") == 1, F.col("k"))).alias("k1"), F.max(F.when(F.col("down") == 1, F.col("k"))).alias("j1"), F.sum("k").alias("n"))
+    both = rows.join(ends.where(F.col("n") >= least), STATEMENT)
+    low = F.when((F.col("y") == F.col("y1")) & (F.col("k1") == 1), F.col("y2")).otherwise(F.col("y1"))
+    high = F.when((F.col("y") == F.col("z1")) & (F.col("j1") == 1), F.col("z2")).otherwise(F.col("z1"))
+    odd = both.withColumn("low", low).withColumn("high", high).where((F.col("high") - F.col("low") <= spread) & ~F.col("y").between(F.col("low") - beyond, F.col("high") + beyond))
+    day = lambda y: F.concat_ws("-", y.cast("string"), F.month("d").cast("string"), F.dayofmonth("d").cast("string")).try_cast("date")
+    inside = lambda c: F.when(F.year(c).between(F.col("low"), F.col("high")), F.col(c))
+    gap = lambda y: F.coalesce(F.abs(F.datediff(day(y), inside("before"))), F.lit(0)) + F.coalesce(F.abs(F.datediff(day(y), inside("after"))), F.lit(0))
+    tried = F.filter(F.transform(F.sequence(F.col("low"), F.col("high")), lambda y: F.struct(gap(y).alias("gap"), y.alias("y"), day(y).alias("d"))), lambda x: x["d"].isNotNull())
+    return odd.select("tx_id", "d", F.array_min(tried)["d"].alias("proposed"))
+
+
+def recorded_corrections(versions: DataFrame, key: str, field: str, version: str) -> DataFrame:
+    """FIX09: the first value of a field, the current one and whether it was corrected, however many versions lie between."""
+    at = lambda f: f(T.text(field), F.col(version))
+    out = versions.groupBy(key).agg(at(F.min_by).alias("original"), at(F.max_by).alias("current"), F.count_distinct(version).alias("n_versions"))
+    return out.withColumn("corrected", F.col("original") != F.col("current"))

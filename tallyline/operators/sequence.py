@@ -142,34 +142,61 @@ def unpreceded(ledger: DataFrame) -> DataFrame:
     return opening.join(closing, met, "left_anti").select("tx_id")
 
 
+#: The lead a reversed day needs, what counts as a break of the order, and the most that one break counts.
+REVERSAL_MARGIN, BREAK, MOST_GAP = 0.01, 1.0, 1_000_000.0
+
+
+def _gap(rows: list[dict], before: float | None) -> float:
+    """The mean difference between expected and printed balances along the rows."""
+    total, n = 0.0, 0
+    for r in rows:
+        if r["bal"] is None or r["amt"] is None or r["dir"] not in ("IN", "OUT"):
+            continue
+        if before is not None:
+            total += min(abs(before + (r["amt"] if r["dir"] == "IN" else -r["amt"]) - r["bal"]), MOST_GAP)
+            n += 1
+        before = r["bal"]
+    return total / n if n else 0.0
+
+
+def _breaks(rows: list[dict]) -> tuple[int, int]:
+    """How many neighbours' balances follow from each other, and how many don't."""
+    valid = broken = 0
+    for a, b in zip(rows, rows[1:], strict=False):
+        if a["bal"] is None or b["bal"] is None or b["amt"] is None or b["dir"] not in ("IN", "OUT"):
+            continue
+        near = abs(a["bal"] + (b["amt"] if b["dir"] == "IN" else -b["amt"]) - b["bal"]) < BREAK
+        valid, broken = valid + near, broken + (not near)
+    return valid, broken
+
+
 def _chronological(rows: list[dict]) -> list[dict]:
-    """SEQ05: days in order; in a day by clock where every row has one, else source order, turned round where that breaks fewer balances."""
-
-    def breaks(seq: list[dict]) -> int:
-        n, prev = 0, None
-        for r in seq:
-            if r["bal"] is not None and r["amt"] is not None:
-                if prev is not None and abs(prev + (r["amt"] if r["dir"] == "IN" else -r["amt"]) - r["bal"]) > 1:
-                    n += 1
-                prev = r["bal"]
-        return n
-
-    days: dict = {}
+    """SEQ05 over rows in source order: days in order, each by its times or as printed, turned round where the balances then
+    fit better; but the printed order, turned if most days run backward, where it breaks fewer balances."""
+    days: dict[str, list[dict]] = {}
     for r in rows:
-        days.setdefault(str(r["d"]), []).append(r)
+        days.setdefault(str(r["d"] or "9999-99-99"), []).append(r)
     out: list[dict] = []
+    before: float | None = None
     for day in sorted(days):
         group = days[day]
-        if all(r["clock"] for r in group):
-            group = sorted(group, key=lambda r: r["clock"])
-        elif len(group) > 1 and breaks([*out[-1:], *group[::-1]]) < breaks([*out[-1:], *group]):
-            group = group[::-1]
+        if len(group) > 1:
+            if any(r["clock"] for r in group):
+                group = sorted(group, key=lambda r: r["clock"] or "00:00:00")
+            if _gap(group[::-1], before) + REVERSAL_MARGIN < _gap(group, before):
+                group = group[::-1]
         out += group
-    return rows if breaks(rows) < breaks(out) else out
+        before = next((r["bal"] for r in reversed(group) if r["bal"] is not None), before)
+    dates = [str(r["d"]) for r in rows if r["d"]]
+    backward = sum(a > b for a, b in zip(dates, dates[1:], strict=False))
+    printed = rows[::-1] if backward > sum(a < b for a, b in zip(dates, dates[1:], strict=False)) else rows
+    (valid, broken), (_, by_date) = _breaks(printed), _breaks(out)
+    return printed if broken < by_date or valid and not broken and by_date else out
 
 
 def chronological(ledger: DataFrame) -> DataFrame:
-    """SEQ05 as a kernel by statement: ``(tx_id, place)``. It needs a statement's rows together, which its pages bound."""
+    """SEQ05 as a kernel by statement: ``(tx_id, place)``. It carries a balance from day to day, so it needs a statement's
+    rows together; six narrow columns go to it, and a statement's pages bound their number."""
     clock = F.regexp_extract(F.coalesce("tm", F.lit("")), r"(\d{2}:\d{2}:\d{2})", 1)
     rows = ledger.select("doc", "acct", "page", "rowno", "tx_id", "d", clock.alias("clock"), "dir", F.col("amt").cast("double").alias("amt"), F.col("bal").cast("double").alias("bal"))
 
@@ -181,6 +208,27 @@ def chronological(ledger: DataFrame) -> DataFrame:
     return rows.groupBy(*STATEMENT).applyInPandas(ordered, "doc string, acct string, tx_id string, place int")
 
 
+def chronological_issues(ledger: DataFrame) -> DataFrame:
+    """SEQ06: the neighbours in the order of SEQ05 whose balances don't follow to the cent."""
+    order = Window.partitionBy(*STATEMENT).orderBy("place")
+    rows = ledger.join(chronological(ledger).select("tx_id", "place"), "tx_id")
+    near = rows.select("tx_id", "dir", "d", "bal", F.lag("tx_id").over(order).alias("prev_id"), F.lag("d").over(order).alias("pd"), (F.lag("bal").over(order) + signed()).cast("decimal(18,2)").alias("expected"))
+    days = F.coalesce(F.abs(F.datediff("d", "pd")), F.lit(0))
+    return near.where(F.col("expected") != F.col("bal")).select("prev_id", "tx_id", "expected", F.col("bal").alias("actual"), days.alias("days_apart"), (days > 30).alias("is_long"))
+
+
+def exact_sequence_directions(ledger: DataFrame, words: str = "利息|结息|入息") -> DataFrame:
+    """SEQ09: statements whose days strictly rise and whose balances all follow exactly, a missing direction of interest
+    counting as IN: those directions are filled."""
+    order = Window.partitionBy(*STATEMENT).orderBy("d", "tm", "page", "rowno", "tx_id")
+    interest = F.concat_ws(" ", "type", "summary").rlike(words)
+    side = F.when(F.col("dir").isin("IN", "OUT"), F.col("dir")).when(interest, "IN")
+    move = F.when(side == "OUT", -F.col("amt")).when(side == "IN", F.col("amt"))
+    rows = ledger.withColumn("side", side).withColumn("follows", F.coalesce((F.lag("bal").over(order) + move) == F.col("bal"), F.lag("tx_id").over(order).isNull())).withColumn("readable", F.col("bal").isNotNull() & F.col("amt").isNotNull() & F.col("d").isNotNull() & side.isNotNull())
+    sound = rows.groupBy(*STATEMENT).agg(F.bool_and("follows").alias("follows"), F.bool_and("readable").alias("readable"), F.count("*").alias("n")).where(F.col("follows") & F.col("readable") & (F.col("n") >= 3))
+    return rows.where(~F.col("dir").isin("IN", "OUT")).join(sound.select(*STATEMENT), STATEMENT, "left_semi").select("tx_id", "side")
+
+
 def batched(parts: Iterator[pd.DataFrame], target: int = 180) -> Iterator[pd.DataFrame]:
     """SEQ19: greedy packing of pages into batches of about ``target`` rows, in the order they come."""
     batch, filled = 0, 0

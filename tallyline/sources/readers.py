@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyline.operators import records
 from tallyline.operators.records import COLUMNS
 
 #: The header of the strict form, in order.
@@ -30,11 +31,116 @@ HEADER_WORDS = {
 MAX_SPAN = 100
 
 
-def strict_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC01, SRC03: the twelve columns as texts, quoted line feeds and doubled quotes included; a header of any other names fails."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True)
-    return reader.csv(path)
+def file_records(spark: SparkSession, path: str) -> DataFrame:
+    """SRC01: ``(file, record_no, record_text)`` of comma-separated files. Line ends outside quotes part records; CR, LF and CRLF
+    are one, a byte-order mark is dropped, and a last record without a line end counts. Each file is one task's work."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, text in zip(pdf["file"], pdf["text"], strict=True):
+                out += [(name, k, r) for k, r in enumerate(split_records(text), 1)]
+            yield pd.DataFrame(out, columns=["file", "record_no", "record_text"])
+
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    return files.mapInPandas(split, "file string, record_no int, record_text string")
+
+
+def split_records(text: str) -> list[str]:
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    # a line end parts records where an even number of quotes precedes it
+    out, start, quotes = [], 0, 0
+    for m in re.finditer('["\n]', text):
+        if m[0] == '"':
+            quotes += 1
+        elif quotes % 2 == 0:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [*out, text[start:]] if start < len(text) else out
+
+
+def strict_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC03: the typed rows of strict twelve-column files, and their errors ``(file, record_no, reason, at)``. A file whose
+    first record isn't the twelve names has one error, ``HEADER``, and no rows; one with a header alone has ``EMPTY``; a day
+    that is none is kept as printed, with the issue ``INVALID_DATE``."""
+    parts = file_records(spark, path)
+    heads = parts.where(F.col("record_no") == 1).select("file", (F.regexp_replace("record_text", '[" ]', "") == ",".join(STRICT_HEADER)).alias("strict"))
+    body = parts.join(heads, "file").where(F.col("strict")).withColumn("id", F.concat_ws("#", "file", "record_no"))
+    parsed = records.parse_records(body, "id", "record_no", "record_text")
+    typed = records.valid_rows(parsed, "id").withColumn("day", F.when(F.col("transaction_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("transaction_date")).try_cast("date"))
+    rows = typed.withColumn("issues", F.when(F.col("day").isNull(), F.array(F.lit("INVALID_DATE"))).otherwise(F.array().cast("array<string>")))
+    place = lambda df: df.withColumn("file", F.regexp_replace("id", r"#\d+$", "")).withColumn("record_no", F.regexp_extract("id", r"#(\d+)$", 1).cast("int")).drop("id")
+    bad = place(records.rejected_rows(parsed, "id").withColumnRenamed("at", "offset")).select("file", "record_no", "reason", "offset")
+    named = heads.where(~F.col("strict")).select("file", F.lit(1).alias("record_no"), F.lit("HEADER").alias("reason"), F.lit(0).alias("offset"))
+    counts = body.groupBy("file").agg(F.max("record_no").alias("n"))
+    empty = counts.where(F.col("n") == 1).select("file", F.lit(1).alias("record_no"), F.lit("EMPTY").alias("reason"), F.lit(0).alias("offset"))
+    return place(rows), bad.unionByName(named).unionByName(empty)
+
+
+def strict_summary(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """SRC04: per account and bank of a strict file its rows, money, days and balances; the balance before the first row is
+    inferred, and the account balances if that and the movements give the last."""
+    move = F.when(F.col("direction") == "IN", F.col("amount")).when(F.col("direction") == "OUT", -F.col("amount")).otherwise(0)
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("direction") == side, F.col("amount"))), F.lit(0)).cast("decimal(28,2)")
+    at = F.when(F.col("balance").isNotNull(), F.struct("transaction_date", "transaction_time", order))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), total("IN").alias("total_in"), total("OUT").alias("total_out"), F.min("transaction_date").alias("start_date"), F.max("transaction_date").alias("end_date"),
+        F.min_by((F.col("balance") - move).cast("decimal(20,2)"), at).alias("start_balance"), F.max_by(F.col("balance").cast("decimal(20,2)"), at).alias("end_balance"),
+    )
+    diff = (F.col("start_balance") + F.col("total_in") - F.col("total_out") - F.col("end_balance")).cast("decimal(28,2)")
+    return out.withColumn("difference", diff).withColumn("is_balanced", F.coalesce(diff == 0, F.lit(False)))
+
+
+#: The short keys of recorded extractions and what they stand for.
+SHORT_KEYS = {"ac": "acct", "bk": "bank", "p": "page", "r": "rowno", "tm": "tm", "dir": "dir", "amt": "amt", "bal": "bal", "cp": "cp_name"}
+
+
+def recorded_rows(df: DataFrame, key: str, text: str, total_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC13: the rows of recorded extractions ``{"n": declared, "rows": [...]}`` in short keys, without those beyond the last
+    page, and a warning where their number isn't the declared one."""
+    one = "ac string, bk string, p int, r int, tm string, dir string, amt decimal(18,2), bal decimal(18,2), cp string"
+    parsed = df.select(key, F.from_json(F.col(text), f"n int, rows array<struct<{one.replace(' string', ': string').replace(' int', ': int').replace(' decimal', ': decimal')}>>").alias("j"))
+    rows = parsed.select(key, F.explode("j.rows").alias("x")).select(key, *(F.col(f"x.{a}").alias(b) for a, b in SHORT_KEYS.items()))
+    rows = rows.where(F.col("page") <= total_pages) if total_pages else rows
+    found = parsed.select(key, F.col("j.n").alias("declared"), F.coalesce(F.size("j.rows"), F.lit(0)).alias("found"))
+    return rows, found.where(F.coalesce(F.col("declared") != F.col("found"), F.lit(True)))
+
+
+def table_of(spark: SparkSession, path: str) -> DataFrame:
+    """SRC15: a comma-separated table with a header, all columns texts, byte-order mark aside."""
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
+    return df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+
+
+#: Fixed value: a printed row: serial number, owner, account, day, time, side, amount and balance.
+ANCHOR = r"(?m)^\s*(\d{1,5})\s+(\S+)\s+(\d{10,30})\s+.*?(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})[\s\S]*?(借|贷)\s+([\d,.]+)\s+([\d,.]+)"
+
+
+def text_anchors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """SRC16: the printed rows of page texts by their anchors, one a match."""
+    parts = lambda k: F.regexp_extract_all(F.col(text), F.lit(ANCHOR), F.lit(k))
+    names = ("serial", "owner", "account", "day", "clock", "side", "amount", "balance")
+    zipped = F.arrays_zip(*(parts(k).alias(n) for k, n in enumerate(names, 1)))
+    return df.select(key, F.explode(zipped).alias("a")).select(key, *(F.col(f"a.{n}").alias(n) for n in names))
+
+
+def unread_pages(df: DataFrame, key: str, text: str) -> DataFrame:
+    """SRC16: pages to look at: those without text, and those with dates but no row that can be told."""
+    empty, dated = F.trim(F.coalesce(F.col(text), F.lit(""))) == "", F.col(text).rlike(r"\d{4}[-/]\d{2}[-/]\d{2}") & ~F.col(text).rlike(ANCHOR)
+    return df.select(key, F.when(empty, "NO_TEXT").when(dated, "DATES_WITHOUT_ROWS").alias("reason")).where(F.col("reason").isNotNull())
+
+
+#: The headers a table of transactions must have, and what its rows start with.
+ROW_HEADERS = (r"交易日期|交易时间|记账日期|记账时间|入账日期|发生日期", r"交易金额|发生额|借方金额|贷方金额|收入金额|支出金额|转入金额|转出金额", r"余额")
+ROW_START = r"^(?:\d{1,3}|20\d{6}|20\d{2}[-/]\d{2}[-/]\d{2}(?:\s+\d{2}:\d{2}:\d{2})?)$"
+
+
+def counted_table_rows(df: DataFrame, key: str, text: str, headers: tuple[str, ...] = ROW_HEADERS) -> DataFrame:
+    """AGG19: rows of each page whose first cell is a serial number or a day, in tables with headers of day, amount and balance."""
+    tables = F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?is)<table\b.*?</table>"), F.lit(0)), lambda t: t.rlike(headers[0]) & t.rlike(headers[1]) & t.rlike(headers[2]))
+    rows = F.flatten(F.transform(tables, lambda t: F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))))
+    first = F.transform(rows, lambda r: F.trim(F.regexp_replace(F.regexp_extract(r, r"(?is)<td[^>]*>(.*?)</td>", 1), "<[^>]*>", "")))
+    return df.where(F.col(text).rlike(r"(?i)<table\b")).select(key, F.size(F.filter(first, lambda c: c.rlike(ROW_START))).alias("n_rows"))
 
 
 def loose_header(rows: list[list[str]], within: int = 25) -> tuple[int, dict[str, int]] | None:
@@ -123,9 +229,3 @@ def write_strict_csv(df: DataFrame, path: str) -> None:
     """SNK04: the twelve columns with their header, quoted where needed, in UTF-8."""
     named = df.select(*(F.col(c).cast("string").alias(h) for c, h in zip(COLUMNS, STRICT_HEADER, strict=True)))
     named.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-
-
-def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """SNK01, SNK07: one folder of Parquet a table."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
