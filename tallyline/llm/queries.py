@@ -49,7 +49,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fields decided by the records' votes alone."""
-    return _survived(spark, sf_dir, torn_only=True, by_votes=True).select(F.col("grp").alias("event_id"), "field_name", F.col("record").alias("obs_id"), "value")
+    return _survived(spark, sf_dir, torn_only=True, dominant=False).select(F.col("grp").alias("event_id"), "field_name", F.col("record").alias("obs_id"), "value")
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
