@@ -5,16 +5,16 @@ the optimizer rewrites it, a count of each row's occurrences in both copies; bot
 united and counted once, and one exchange serves both: a row that the left copy holds n times more often is n times in
 the left residue. The residues are then joined in full by key: a key in both has different values, which are listed field
 by field; a key in one residue alone is a row that only this copy holds, or, where the copies hold other rows of the key
-in common, a surplus (an extra version or repetition).
+in common, a surplus (an extra version or repetition), which is listed where ``extras`` are asked for.
 
 Where several rows of a key are left over on both sides, they meet one for one in the order of their values, so a key
 with many versions never pairs all with all. Counting combines on the map side; a row repeated without end is one row a
 partition.
 
 Defined results: NULL equals ``''``; spaces around a value don't count; NULL keys equal each other; two empty tables
-give no row, one empty table makes every key one-sided; a row that both copies hold, but one more often, is a
-``LEFT_EXTRA`` or ``RIGHT_EXTRA``, as is a version beyond those of the other side; every difference is listed once a key;
-missing array elements are NULL; extra columns are ignored.
+give no row, one empty table makes every key one-sided; repeated rows count once, and with ``extras`` a row that both
+copies hold, but one more often, is a ``LEFT_EXTRA`` or ``RIGHT_EXTRA``, as is a version beyond those of the other side;
+every difference is listed once a key; missing array elements are NULL; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def residue(counted: DataFrame, more: str, less: str, name: str) -> DataFrame:
     return counted.where(F.col(more) > F.col(less)).select("k", nth.alias("nth"), F.col("row").alias(name), (F.col(more) - F.col(less)).alias(f"{name}_surplus"))
 
 
-def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], extras: bool = False) -> DataFrame:
     """``(*keys, diff_kind, field_name)`` of two copies whose columns are ``keys`` and canonical ``fields``."""
     counted = occurrences(left, right, keys, fields)
     a, b = residue(counted, "n_left", "n_right", "a"), residue(counted, "n_right", "n_left", "b")
@@ -60,7 +60,8 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     entry = lambda kind, field: F.struct(F.lit(kind).alias("diff_kind"), field.alias("field_name"))
     one = lambda test, held, alone: F.when(F.coalesce(test, F.lit(False)), F.when(F.col("held"), entry(held, F.lit(""))).otherwise(entry(alone, F.lit(""))))
     kinds = F.concat(F.transform("fields", lambda f: entry(VALUE, f)), F.array(one(F.col("more_left"), LEFT_EXTRA, LEFT_ONLY), one(F.col("more_right"), RIGHT_EXTRA, RIGHT_ONLY)))
-    listed = found.select("k", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("d"))
+    kept = F.filter(kinds, lambda x: x.isNotNull() & (F.lit(extras) | ~x["diff_kind"].isin(LEFT_EXTRA, RIGHT_EXTRA)))
+    listed = found.select("k", F.explode(kept).alias("d"))
     return listed.select(*(F.col(f"k.{k}").alias(k) for k in keys), "d.diff_kind", "d.field_name")
 
 

@@ -50,14 +50,19 @@ def _reading(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
-def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _compared(spark: SparkSession, sf_dir: str, extras: bool) -> DataFrame:
     left, right = _reading(spark, sf_dir, "assembled_rows"), _reading(spark, sf_dir, "independent_rows")
-    return difference.differences(left, right, ROW_KEY, [*CELLS, "raw_direction", "issues"])
+    return difference.differences(left, right, ROW_KEY, [*CELLS, "raw_direction", "issues"], extras)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case counts once a key, however often either reading repeats the row."""
-    return p7_report(spark, sf_dir).where(~F.col("diff_kind").isin(difference.LEFT_EXTRA, difference.RIGHT_EXTRA))
+    return _compared(spark, sf_dir, extras=False)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the rows that one reading holds more often."""
+    return _compared(spark, sf_dir, extras=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

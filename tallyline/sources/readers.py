@@ -59,14 +59,24 @@ def split_records(text: str) -> list[str]:
     return [*out, text[start:]] if start < len(text) else out
 
 
-def strict_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC03: the typed rows of strict twelve-column files, and their errors ``(file, record_no, reason, at)``. A file whose
-    first record isn't the twelve names has one error, ``HEADER``, and no rows; one with a header alone has ``EMPTY``; a day
-    that is none is kept as printed, with the issue ``INVALID_DATE``."""
+def _strict_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = file_records(spark, path)
     heads = parts.where(F.col("record_no") == 1).select("file", (F.regexp_replace("record_text", '[" ]', "") == ",".join(STRICT_HEADER)).alias("strict"))
     body = parts.join(heads, "file").where(F.col("strict")).withColumn("id", F.concat_ws("#", "file", "record_no"))
-    parsed = records.parse_records(body, "id", "record_no", "record_text")
+    return heads, body, records.parse_records(body, "id", "record_no", "record_text")
+
+
+def strict_csv(spark: SparkSession, path: str) -> DataFrame:
+    """SRC03: the twelve columns, as texts, of the records of strict files that load."""
+    parsed = _strict_parts(spark, path)[2].where(F.col("reason").isNull())
+    return parsed.select(*(F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(COLUMNS)))
+
+
+def strict_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC03: the typed rows of strict twelve-column files, and their errors ``(file, record_no, reason, offset)``. A file whose
+    first record isn't the twelve names has one error, ``HEADER``, and no rows; one with a header alone has ``EMPTY``; a day
+    that is none is kept as printed, with the issue ``INVALID_DATE``."""
+    heads, body, parsed = _strict_parts(spark, path)
     typed = records.valid_rows(parsed, "id").withColumn("day", F.when(F.col("transaction_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("transaction_date")).try_cast("date"))
     rows = typed.withColumn("issues", F.when(F.col("day").isNull(), F.array(F.lit("INVALID_DATE"))).otherwise(F.array().cast("array<string>")))
     place = lambda df: df.withColumn("file", F.regexp_replace("id", r"#\d+$", "")).withColumn("record_no", F.regexp_extract("id", r"#(\d+)$", 1).cast("int")).drop("id")
