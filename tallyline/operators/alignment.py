@@ -131,7 +131,7 @@ def aligned_pages(left: DataFrame, right: DataFrame, page: list[str], row: str,
 
 
 def near_pages(pages: DataFrame, key: str, page: str, k: int = 2) -> DataFrame:
-    """JON23, TOP08: for every page the nearest other pages of the same owner, at most k. Candidates are neighbours in page
+    """TOP08: for every page the nearest other pages of the same owner, at most k. Candidates are neighbours in page
     order, k before and k after, so no owner's pages are paired with each other."""
     order = Window.partitionBy(key).orderBy(page)
     around = F.array(*(F.lag(page, d).over(order) for d in range(1, k + 1)), *(F.lead(page, d).over(order) for d in range(1, k + 1)))

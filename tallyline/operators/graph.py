@@ -54,7 +54,7 @@ def zero_row_accounts(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def suffix_accounts(short: DataFrame, full: DataFrame) -> DataFrame:
-    """JON11, ER20: a number printed without its first one to four digits and the one longer number that ends with it. The
+    """ER20: a number printed without its first one to four digits and the one longer number that ends with it. The
     last eight digits are an equality; a number with several longer ones stays as it is."""
     a = short.select(F.col("number").alias("short"), F.right("number", F.lit(8)).alias("tail")).where(F.length("number") >= 10).distinct()
     b = full.select(F.col("number").alias("long"), F.right("number", F.lit(8)).alias("tail")).distinct()

@@ -13,7 +13,7 @@ MONEY = r"^-?\d{1,15}(\.\d{1,2})?$"
 
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
-    """ER12: the newest version of every key. Versions are combined on the map side, so a key repeated without end costs one row a partition."""
+    """The newest version of every key. Versions are combined on the map side, so a key repeated without end costs one row a partition."""
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 

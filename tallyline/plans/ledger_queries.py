@@ -194,7 +194,7 @@ _add(
       LEFT JOIN summ x ON x.cp_key = k.key LEFT JOIN summ y ON y.cp_key = k.name_key""", f"summ AS (SELECT {_PARTY_KEY} AS cp_key, {_IN} AS total_in, {_OUT} AS total_out FROM led GROUP BY 1)"),
 )
 _add(
-    "JON11_suffix_accounts",
+    "ER20_suffix_aliases",
     lambda s, d: graph.suffix_accounts(_acc(s, d).select(F.expr("substr(account_number, 4)").alias("number")), _acc(s, d).select(F.col("account_number").alias("number"))),
     """SELECT short, min(l) AS long FROM (SELECT DISTINCT substr(account_number, 4) AS short FROM accounts) a JOIN (SELECT DISTINCT account_number AS l FROM accounts) b
       ON length(short) >= 10 AND length(l) - length(short) BETWEEN 1 AND 4 AND ends_with(l, short) GROUP BY short HAVING count(*) = 1""",
@@ -232,10 +232,10 @@ _add(
 )
 _add("JON20_zero_row_accounts", lambda s, d: graph.zero_row_accounts(_acc(s, d), _led(s, d)), _sql("SELECT source_document_id, account_number FROM accounts WHERE source_document_id NOT IN (SELECT doc FROM led WHERE doc IS NOT NULL)"))
 _add(
-    "JON23_near_pages",
+    "TOP08_near_pages",
     lambda s, d: alignment.near_pages(_led(s, d).where("page > 0").select("doc", "page").distinct(), "doc", "page"),
     _sql("""SELECT doc, page, other, rank::INT AS rank FROM (SELECT p.doc, p.page, q.page AS other, row_number() OVER (PARTITION BY p.doc, p.page ORDER BY abs(q.page - p.page), q.page) AS rank
-      FROM (SELECT DISTINCT doc, page FROM led WHERE page > 0) p JOIN (SELECT DISTINCT doc, page FROM led WHERE page > 0) q ON p.doc = q.doc AND p.page <> q.page AND abs(q.page - p.page) <= 4) WHERE rank <= 2"""),
+      FROM (SELECT DISTINCT doc, page FROM led WHERE page > 0) p JOIN (SELECT DISTINCT doc, page FROM led WHERE page > 0) q ON p.doc = q.doc AND p.page <> q.page) WHERE rank <= 2"""),
 )
 
 # --- aggregates --------------------------------------------------------------------------------------------------
