@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.plans import assembly_queries, core, further_queries, identity_queries, ledger_queries, page_queries, repair_queries, review_queries, scalar_queries, source_queries, view_queries
+from tallyline.plans import assembly_queries, core, further_queries, identity_queries, ledger_queries, page_queries, repair_queries, review_queries, scalar_queries, small_queries, source_queries, view_queries
 
-_MODULES = [core, ledger_queries, repair_queries, view_queries, scalar_queries, review_queries, page_queries, identity_queries, assembly_queries, source_queries, further_queries]
+_MODULES = [core, ledger_queries, repair_queries, view_queries, scalar_queries, review_queries, page_queries, identity_queries, assembly_queries, source_queries, further_queries, small_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -84,3 +84,11 @@ def written_once(spark: SparkSession, name: str, paths: list[str], build: Callab
         build().write.mode("overwrite").parquet(target)
         _written[key] = target
     return spark.read.parquet(_written[key])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster on which it isn't installed. Call it once, before the first query."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallyline-package-")
+    archive = shutil.make_archive(os.path.join(folder, "tallyline"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
