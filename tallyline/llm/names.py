@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,8 +107,24 @@ def edit_distance(a: str, b: str, k: int) -> int:
     return old.get(len(b), big)
 
 
-def _near(word: str, vocabulary: Iterable[str]) -> str | None:
-    found = {v for v in vocabulary if edit_distance(word, v, 1) <= 1}
+def _with_one_left_out(word: str) -> set[str]:
+    return {word} | {word[:k] + word[k + 1 :] for k in range(len(word))}
+
+
+@cache
+def _neighbours(vocabulary: tuple[str, ...] | frozenset[str]) -> dict[str, set[str]]:
+    """The words of a vocabulary by their forms with one letter left out, of which words one edit or swap apart share one."""
+    out: dict[str, set[str]] = {}
+    for word in vocabulary:
+        for form in _with_one_left_out(word):
+            out.setdefault(form, set()).add(word)
+    return out
+
+
+def _near(word: str, vocabulary: tuple[str, ...] | frozenset[str]) -> str | None:
+    forms = _neighbours(vocabulary)
+    met = set().union(*(forms.get(f, ()) for f in _with_one_left_out(word)))
+    found = {v for v in met if edit_distance(word, v, 1) <= 1}
     return found.pop() if len(found) == 1 else None
 
 
@@ -152,7 +169,10 @@ def _read_latin(text: str, known: Vocabulary) -> tuple[str, str, str | None, str
 
 def _without_place(text: str, places: tuple[str, ...]) -> tuple[str, str | None]:
     for place in places:
-        shorter = re.sub(rf"^{place}市*|[(（]{place}市?[)）]?|{place}市?$", "", text)
+        if place not in text:
+            continue
+        name = re.escape(place)
+        shorter = re.sub(rf"^{name}市*|[(（]{name}市?[)）]?|{name}市?$", "", text)
         if shorter != text and len(shorter) >= 2:
             return shorter, place
     return text, None
@@ -180,7 +200,10 @@ def _read_han(text: str, places: tuple[str, ...], known: Vocabulary) -> tuple[st
 
 
 def _bare_name(name: str) -> str:
-    text = "".join(c for c in unicodedata.normalize("NFKC", name) if unicodedata.category(c) != "Cf").strip()
+    text = unicodedata.normalize("NFKC", name)
+    if not text.isprintable():  # format characters aren't
+        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    text = text.strip()
     while (shorter := _BESIDE.sub("", text).strip()) != text and shorter:
         text = shorter
     return text
@@ -240,7 +263,7 @@ def name_rows(df: DataFrame, key: str, name: str, aliases: str, account: str, ci
     known = df.select(city).where(F.coalesce(F.col(city), F.lit("")) != "").distinct().limit(MAX_PLACES + 1).collect()
     if len(known) > MAX_PLACES:
         raise ValueError(f"more than {MAX_PLACES} places")
-    places = tuple(sorted((re.escape(r[0]) for r in known), key=lambda p: (-len(p), p)))
+    places = tuple(sorted((r[0] for r in known), key=lambda p: (-len(p), p)))
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for names in batches:
