@@ -82,3 +82,31 @@ FIELD_KIND = {
 def field(name: str, c: Column, text=words) -> Column:
     """The canonical value of the field ``name``; ``text`` is used for names, summaries and other free text."""
     return FIELD_KIND.get(name, text)(c)
+
+
+def _trimmed_sql(c: str) -> str:
+    return f"coalesce(regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '')"
+
+
+def field_sql(name: str, c: str, spaced: bool = False) -> str:
+    """The same canonical values for the SQL side; free text keeps its inner spaces where ``spaced``."""
+    t = _trimmed_sql(c)
+    parts = lambda p, sep: f" || '{sep}' || ".join(f"lpad(regexp_extract({t}, '{p}', {k}), {2 if k > 1 or sep == ':' else 4}, '0')" for k in (1, 2, 3))
+    if name in ("account_number", "counterparty_account"):
+        return f"coalesce(lower(regexp_replace({c}, '{_SEPARATOR}', '', 'g')), '')"
+    if name == "transaction_date":
+        p, q = r"^(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})\s*日?(?:[T ]00:00:00(?:\.0+)?)?$", r"^(\d{4})(\d{2})(\d{2})$"
+        return f"CASE WHEN regexp_matches({t}, '{p}') THEN {parts(p, '-')} WHEN regexp_matches({t}, '{q}') THEN {parts(q, '-')} ELSE {t} END"
+    if name == "transaction_time":
+        p, q = r"^(\d{1,2})\s*[:：时]\s*(\d{1,2})(?:\s*[:：分]\s*(\d{1,2})\s*秒?|\s*分?)$", r"^(\d{2})(\d{2})(\d{2})$"
+        short = f"lpad(regexp_extract({t}, '{p}', 1), 2, '0') || ':' || lpad(regexp_extract({t}, '{p}', 2), 2, '0')"
+        return f"CASE WHEN regexp_matches({t}, '{p}') THEN CASE WHEN regexp_extract({t}, '{p}', 3) = '' THEN {short} ELSE {parts(p, ':')} END WHEN regexp_matches({t}, '{q}') THEN {parts(q, ':')} ELSE {t} END"
+    if name == "direction":
+        u = f"upper(regexp_replace(coalesce({c},''), '{_SPACE}', '', 'g'))"
+        return f"CASE WHEN {u} IN {DIRECTION_IN!r} THEN 'IN' WHEN {u} IN {DIRECTION_OUT!r} THEN 'OUT' ELSE {u} END"
+    if name in ("amount", "balance"):
+        b = rf"regexp_replace(coalesce({c},''), '[,，¥￥$元]|{_SPACE}', '', 'g')"
+        whole, frac = rf"regexp_extract({b}, '^[+-]?0*(\d*)', 1)", rf"regexp_replace(regexp_extract({b}, '\.(\d*)$', 1), '0+$', '')"
+        digits = f"(CASE WHEN {whole} = '' THEN '0' ELSE {whole} END || CASE WHEN {frac} = '' THEN '' ELSE '.' || {frac} END)"
+        return rf"CASE WHEN regexp_matches({b}, '^[+-]?(\d+(\.\d*)?|\.\d+)$') AND length({b}) <= 40 THEN CASE WHEN starts_with({b}, '-') AND {digits} <> '0' THEN '-' ELSE '' END || {digits} ELSE {t} END"
+    return t if spaced else f"coalesce(regexp_replace({c}, '{_SPACE}', '', 'g'), '')"

@@ -72,4 +72,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_report": p7_report,
 }
-ORACLE_SQL: dict[str, str] = {}
+def _reading_sql(name: str) -> str:
+    cells = ", ".join(f"{canon.field_sql(n, f'cell_values[{k + 1}]', spaced=True)} AS {n}" for k, n in enumerate(CELLS))
+    pairs = "list_sort(list_distinct(list_transform(issues, lambda x: trim(coalesce(x.field_name,''), ' ') || chr(31) || trim(coalesce(x.kind,''), ' '))))"
+    return f"SELECT DISTINCT {', '.join(ROW_KEY)}, {cells}, {canon.field_sql('', 'raw_direction', spaced=True)} AS raw_direction, coalesce(array_to_string({pairs}, chr(30)), '') AS issues FROM {name}"
+
+
+def _found_sql() -> str:
+    """For tables whose repeated rows agree, as those of the problem do."""
+    fields, key = [*CELLS, "raw_direction", "issues"], ", ".join(ROW_KEY)
+    values = " UNION ALL ".join(f"SELECT {key}, 'VALUE' AS diff_kind, '{f}' AS field_name FROM l JOIN r USING ({key}) WHERE l.{f} <> r.{f}" for f in fields)
+    alone = lambda a, b, kind: f"SELECT DISTINCT {key}, '{kind}', '' FROM {a} WHERE ({key}) NOT IN (SELECT ({key}) FROM {b})"
+    return f"WITH l AS ({_reading_sql('assembled_rows')}), r AS ({_reading_sql('independent_rows')}) {values} UNION ALL {alone('l', 'r', 'LEFT_ONLY')} UNION ALL {alone('r', 'l', 'RIGHT_ONLY')}"
+
+
+ORACLE_SQL: dict[str, str] = {"p7_found": _found_sql()}
