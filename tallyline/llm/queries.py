@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.functions import canon
 from tallyline.llm import confusables, leakage, mapping, mixing, names, quality, representative
 
 
@@ -112,4 +113,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_statistics": p10_statistics,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _survivors_sql() -> str:
+    """The order of trust that the survivors are defined by; it settles every field unless the most trusted values tie."""
+    cells = " UNION ALL ".join(f"SELECT event_id, obs_id, u, q, x, '{f}' AS field_name, {canon.field_sql(f, f)} AS value FROM o" for f in representative.FIELDS)
+    trust = "CASE WHEN review_status IN ('VERIFIED','CORRECTED') THEN 0 ELSE 1 END AS u, -coalesce(extraction_confidence, -1) AS q, extracted_at AS x"
+    return f"""WITH o AS (SELECT DISTINCT event_id, obs_id, {trust}, {', '.join(representative.FIELDS)} FROM observations), c AS (SELECT * FROM ({cells}) WHERE value <> ''),
+      best AS (SELECT event_id, field_name, value FROM (SELECT *, row_number() OVER (PARTITION BY event_id, field_name ORDER BY u, q, x DESC NULLS LAST, obs_id) AS rn FROM c) WHERE rn = 1),
+      torn AS (SELECT event_id, field_name FROM c GROUP BY 1, 2 HAVING count(DISTINCT value) > 1)
+      SELECT event_id, field_name, min(obs_id) AS obs_id FROM c JOIN best USING (event_id, field_name, value) JOIN torn USING (event_id, field_name) GROUP BY 1, 2"""
+
+
+ORACLE_SQL: dict[str, str] = {"p2_found": _survivors_sql()}
