@@ -158,17 +158,18 @@ def transfer_rows(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def transfer_candidates(ledger: DataFrame, accounts: DataFrame, days: int = 2) -> DataFrame:
-    """JON02: ``(out_id, in_id, day_gap, score)``. The window of days is an equality: the incoming side is repeated for
-    each day it may pair with, so the join is on amount and day and nothing is compared beyond it."""
+    """JON02: ``(out_id, in_id, day_gap, score)``. The window of days is an equality: the incoming side is repeated for each day
+    it may pair with. One side must print the other's account, so that is part of the key too: one join where the outgoing
+    row prints it, one where the incoming row alone does, and no amount, however common, meets itself."""
     rows = transfer_rows(ledger, accounts)
     outgoing = rows.where(F.col("dir") == "OUT").alias("o")
     incoming = rows.where(F.col("dir") == "IN").withColumn("day", F.explode(F.sequence(F.date_sub("d", days), F.date_add("d", days)))).alias("i")
-    pairs = outgoing.join(incoming, [F.col("o.amt") == F.col("i.amt"), F.col("o.d") == F.col("i.day"), F.col("o.part") != F.col("i.part")])
-    forward, reverse = F.col("o.n_cp") == F.col("i.part"), F.col("i.n_cp") == F.col("o.part")
-    against = (F.col("o.n_cp") != "") & ~forward | (F.col("i.n_cp") != "") & ~reverse
+    near = [F.col("o.amt") == F.col("i.amt"), F.col("o.d") == F.col("i.day"), F.col("o.part") != F.col("i.part")]
     gap = F.abs(F.datediff("o.d", "i.d"))
-    score = F.when(forward & reverse, 100).otherwise(80) - gap
-    return pairs.where((forward | reverse) & ~against).select(F.col("o.tx_id").alias("out_id"), F.col("i.tx_id").alias("in_id"), gap.alias("day_gap"), score.alias("score"))
+    found = lambda pairs, score: pairs.select(F.col("o.tx_id").alias("out_id"), F.col("i.tx_id").alias("in_id"), gap.alias("day_gap"), (score - gap).alias("score"))
+    forward = outgoing.join(incoming, [*near, F.col("o.n_cp") == F.col("i.part")]).where((F.col("i.n_cp") == "") | (F.col("i.n_cp") == F.col("o.part")))
+    reverse = outgoing.where(F.col("n_cp") == "").join(incoming, [*near, F.col("i.n_cp") == F.col("o.part")])
+    return found(forward, F.when(F.col("i.n_cp") == "", 80).otherwise(100)).unionByName(found(reverse, F.lit(80)))
 
 
 def net_group(pdf: pd.DataFrame) -> pd.DataFrame:

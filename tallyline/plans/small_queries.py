@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import text as T
-from tallyline.operators import alignment, events, graph, views
+from tallyline.operators import alignment, events, graph, repair, sequence, views
 from tallyline.operators.ledger import ORDERS_CTE, orders_ledger, read_accounts, read_ledger
 from tallyline.plans import ledger_queries as P
+from tallyline.plans import repair_queries as Q
+from tallyline.plans import view_queries as V
 from tallyline.plans.core import ROW_KEY, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,20 @@ _add(
     lambda s, d: alignment.unique_matches(P._cells(s, d, "assembled_rows").withColumnRenamed("rid", "left_id"), P._cells(s, d, "independent_rows").withColumnRenamed("rid", "right_id"), _EXTRA, "left_id", "right_id").select("left_id", "right_id"),
     "WITH " + ", ".join(P._AB) + f" SELECT left_id, right_id FROM {_one('a', 'left_id')} x JOIN {_one('b', 'right_id')} y USING ({', '.join(_EXTRA)})",
 )
+
+
+# --- operators that find nothing over the bank tables, over the orders ledger with pages, balances and printed days that give them rows ---
+
+
+def _variant(name: str, op: Callable[[DataFrame], DataFrame], source: str, columns: dict[str, str]) -> None:
+    """``op`` over the orders ledger with ``columns`` in place of its own, and the SQL of the query ``source`` over the same rows."""
+    cte = ORDERS_CTE.replace("led AS (", "led0 AS (", 1) + ",\nled AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + ") FROM led0)"
+    made = lambda s, d: orders_ledger(s, d).selectExpr(*(f"{columns.get(c, c)} AS {c}" for c in orders_ledger(s, d).columns))
+    _add(name, lambda s, d: op(made(s, d)), (P.ORACLE_SQL | V.ORACLE_SQL | Q.ORACLE_SQL)[source].replace(P.L.LEDGER_SQL.strip(), cte))
+
+
+_variant("AGG15_orders", sequence.missing_pages, "AGG15_missing_pages", {"doc": "concat('D', CAST(rowno % 7 AS STRING))", "page": "rowno % 50 * 2 + 1"})
+_variant("ER09_orders", lambda led: views.overlapping_documents(led, 1, 1), "ER09_overlapping_documents", {"bal": "CAST(amt * 2 AS DECIMAL(18,2))", "doc": "CASE WHEN doc = 'DOC_B' THEN 'B' ELSE concat('A', CAST(rowno % 5 AS STRING)) END"})
+_variant("FIX02_orders", repair.printed_dates, "FIX02_printed_dates", {"raw_text": "concat('x 20', CAST(20 + rowno % 9 AS STRING), '-', lpad(CAST(month(d) AS STRING), 2, '0'), '-', lpad(CAST(day(d) AS STRING), 2, '0'))"})
+_variant("SEQ12_orders", repair.shifted_pages, "SEQ12_shifted_pages", {"bal": "CAST(CASE WHEN rowno % 10 = 0 AND rowno % 3 = 0 THEN 5 ELSE 0 END AS DECIMAL(18,2))", "page": "rowno % 40"})
+_variant("SEQ11_orders", sequence.flipped_pages, "SEQ11_flipped_pages", {"acct": "'6222000000000001'", "dir": "'OUT'", "amt": "CAST(100 AS DECIMAL(18,2))", "bal": "CAST(floor(rowno / 97) * 100 AS DECIMAL(18,2))", "page": "rowno % 97"})
