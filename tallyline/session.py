@@ -71,6 +71,11 @@ def _signature(spark: SparkSession, path: str) -> str:
     return repr(sorted(found))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -79,7 +84,7 @@ def written_once(spark: SparkSession, name: str, paths: list[str], build: Callab
     there by every later query of the application, until any file below ``paths`` changes."""
     digest = hashlib.sha256("\n".join(_signature(spark, p) for p in paths).encode()).hexdigest()[:24]
     key = (spark.sparkContext.applicationId, f"{name}-{digest}")
-    if key not in _written:
+    if key not in _written or not _exists(spark, f"{_written[key]}/_SUCCESS"):
         target = f"{ensure_checkpoint_dir(spark)}/{key[0]}-{key[1]}"
         build().write.mode("overwrite").parquet(target)
         _written[key] = target
